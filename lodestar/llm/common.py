@@ -23,7 +23,7 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """mapInArrow with bounded batches."""
     bounded_batches(df.sparkSession)
     return df.mapInArrow(function, schema)

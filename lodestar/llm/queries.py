@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import bpe, langid, neardup
+from lodestar.llm import bpe, decontam, langid, neardup
 from lodestar.session import table
 
 
@@ -25,6 +25,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text")
+
+
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,6 +37,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op5_bpe": op5_bpe,
+    "op6_decontamination": op6_decontamination,
     "op10_order_minhash": op10_order_minhash,
 }
 
