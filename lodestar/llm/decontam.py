@@ -160,7 +160,7 @@ def search(docs: DataFrame, items: Items, coverage: float, last: bool) -> DataFr
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES, keep_text: bool = True
 ) -> DataFrame:
     """docs with n_items, best_item, coverage and contaminated added, from every whole text.
 
@@ -176,6 +176,8 @@ def decontaminate(
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     out = docs.withColumns({"n_items": F.lit(0).cast("long"), "best_item": F.lit(None).cast("long"), "coverage": F.lit(0.0), "folded": F.lower(F.col(f"`{text_col}`"))})
+    if not keep_text:
+        out = out.drop(text_col)
     for k in range(blocks):
         rows = sorted(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect())
         out = search(out, Items([r.item_id for r in rows], [r.text for r in rows]), coverage, k + 1 == blocks)

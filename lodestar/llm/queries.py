@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import bpe, decontam, langid, neardup
+from lodestar.llm import bpe, decontam, langid, neardup, urlfilter
 from lodestar.session import table
 
 
@@ -27,7 +27,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text")
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op5_bpe": op5_bpe,
     "op6_decontamination": op6_decontamination,
+    "op8_url_filter": op8_url_filter,
     "op10_order_minhash": op10_order_minhash,
 }
 
