@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, decontam, langid, neardup, urlfilter
+from lodestar.llm import bpe, chat, decontam, langid, neardup, urlfilter
 from lodestar.session import table
 
 
@@ -30,6 +31,45 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
 
 
+#: Conversation -7 says the template's own control strings.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], rows.schema)
+    out = chat.format_conversations(rows.unionByName(planted))
+    out = out.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.masked(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP7_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, role, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+  UNION ALL SELECT -7, 0, 'user', 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', 'assistant', '\### Assistant: </turn> ok'
+), said AS (
+  SELECT *, replace(replace(replace(x, '\', '\\'), '### ', '\h## '), '</turn>', '\l/turn>') AS body,
+         replace(replace(replace(replace(r, '\', '\\'), '### ', '\h## '), '</turn>', '\l/turn>'), ':', '\c') AS head
+  FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, x)) AS turns_sha256,
+       CAST(coalesce(sum(length(x)) FILTER (WHERE r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, x) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(head) + length(body) + 14) AS BIGINT) AS formatted_chars
+FROM said GROUP BY conv_id
+"""
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
@@ -42,8 +82,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op5_bpe": op5_bpe,
     "op6_decontamination": op6_decontamination,
+    "op7_chat_format": op7_chat_format,
     "op8_url_filter": op8_url_filter,
     "op10_order_minhash": op10_order_minhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_chat_format": OP7_SQL,
+}
