@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, chat, decontam, langid, neardup, urlfilter
+from lodestar.llm import bpe, chat, decontam, langid, licenses, neardup, urlfilter
 from lodestar.session import table
 
 
@@ -74,6 +74,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("met")
+
+
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_chat_format": op7_chat_format,
     "op8_url_filter": op8_url_filter,
+    "op9_license_scan": op9_license_scan,
     "op10_order_minhash": op10_order_minhash,
 }
 
