@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, chat, decontam, langid, licenses, neardup, secrets, urlfilter
+from lodestar.llm import bpe, chat, decontam, langid, licenses, neardup, quality, secrets, urlfilter
 from lodestar.session import table
 
 
@@ -26,6 +26,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -89,6 +93,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_secret_scan": op3_secret_scan,
+    "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
     "op6_decontamination": op6_decontamination,
     "op7_chat_format": op7_chat_format,

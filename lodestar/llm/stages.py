@@ -4,13 +4,37 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from lodestar.llm import bpe
+from lodestar.llm import bpe, decontam, neardup, quality, secrets
 from lodestar.llm.queries import vocabulary_path
-from lodestar.session import ensure_checkpoint_dir
+from lodestar.session import ensure_checkpoint_dir, table
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.classify(docs).where("kept").select(docs.columns)
+
+
+def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of exact and near copies stays, the one with the smallest doc_id.
+
+    Of repeated rows with one doc_id the first by text stays; rows without a doc_id pass.
+    """
+    kept = neardup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    one = docs.join(kept, "doc_id", "left_semi").withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    return one.where("_row = 1").select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(docs.columns)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Live credentials are cut out of the texts; all documents stay."""
+    return secrets.redact(docs)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +42,13 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, vocabulary_path())
 
 
-STAGES = [("bpe_encode", bpe_stage)]
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", neardup_stage),
+    ("decontamination", decontam_stage),
+    ("secrets", secrets_stage),
+    ("bpe", bpe_stage),
+]
 
 
 def run(spark: SparkSession, docs: DataFrame, sf_dir: str, stages) -> DataFrame:
