@@ -1 +1,3 @@
 """All modules that register queries."""
+
+from lodestar.plans import range_queries  # noqa: F401
