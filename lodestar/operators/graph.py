@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.session import cut
@@ -36,3 +36,16 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     least = at.groupBy("at").agg(F.min("node").alias("component"))
     return at.join(least, "at").select("node", "component")
+
+
+def breadth_first(edges: DataFrame, start: DataFrame, depth: int, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, depth) of what is reachable from start over undirected edges within depth hops; lineage is cut each hop."""
+    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
+    both = cut(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    seen = start.select("node", F.lit(0).alias("depth")).distinct()
+    front = seen
+    for hop in range(1, depth + 1):
+        step = front.join(both, front["node"] == both["u"]).select(F.col("v").alias("node")).distinct()
+        front = cut(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(hop)))
+        seen = seen.unionByName(front)
+    return seen

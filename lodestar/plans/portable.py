@@ -38,6 +38,8 @@ def portable(name: str, sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         bound = text
         for t in used:
+            named = r"(?=\s+(?!ON\b|WHERE\b|GROUP\b|JOIN\b|LEFT\b|FULL\b|CROSS\b|UNION\b|WINDOW\b|INTERSECT\b|EXCEPT\b|HAVING\b|ORDER\b)\w)"
+            bound = re.sub(rf"\b(FROM|JOIN)\s+{t}\b{named}", rf"\1 {{{t}}}", bound)  # it has an alias
             bound = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {{{t}}} AS {t}", bound)
         return spark.sql(bound, **{t: table(spark, sf_dir, t) for t in used})
 
