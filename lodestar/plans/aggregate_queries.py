@@ -60,7 +60,7 @@ SELECT rep, count(*) AS oligos, count_if(n_bc >= 10) AS kept, round(avg(n_bc), 6
 portable("assignment_filter", """
 WITH c AS (SELECT l_suppkey AS bc, l_returnflag || l_linestatus AS oligo, count(*) AS n FROM lineitem GROUP BY l_suppkey, l_returnflag || l_linestatus),
 s AS (SELECT *, sum(n) OVER (PARTITION BY bc) AS total, row_number() OVER (PARTITION BY bc ORDER BY n DESC, oligo) AS rn FROM c)
-SELECT bc, oligo, concat(n, '/', CAST(total AS BIGINT)) AS support FROM s WHERE rn = 1 AND total >= 3 AND n >= 3 AND n / total >= 0.25e0""")
+SELECT bc, oligo, concat(n, '/', CAST(total AS BIGINT)) AS support FROM s WHERE rn = 1 AND total >= 3 AND n >= 3 AND n / total >= 0.2e0""")
 
 portable("assignment_statistics", "SELECT n_bc, count(*) AS oligos FROM (SELECT l_partkey, count(DISTINCT l_suppkey) AS n_bc FROM lineitem GROUP BY l_partkey) GROUP BY n_bc")
 

@@ -16,6 +16,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 DIALECT = {
     "SEC": (r"timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', \1)", r"CAST(floor(epoch(\1)) AS BIGINT)"),
     "INTDIV": (r"CAST(floor((\1) / (\2)) AS BIGINT)", r"CAST(floor((\1) / (\2)) AS BIGINT)"),
+    "MATCHES": (r"regexp_like(\1, \2)", r"regexp_matches(\1, \2)"),
+    "SHA": (r"sha2(\1, 256)", r"sha256(\1)"),
     "PCT": (r"percentile(\1, \2)", r"quantile_cont(\1, \2)"),
     "KJSON": (r"CAST(get_json_object(\1, '$.k') AS BIGINT)", r"CAST(json_extract_string(\1, '$.k') AS BIGINT)"),
     "JOINED": (r"array_join(array_sort(collect_set(\1)), ';')", r"string_agg(DISTINCT \1, ';' ORDER BY \1)"),
