@@ -1,3 +1,3 @@
 """All modules that register queries."""
 
-from lodestar.plans import aggregate_queries, filter_queries, graph_queries, model_queries, range_queries, window_queries  # noqa: F401
+from lodestar.plans import aggregate_queries, annotation_queries, filter_queries, graph_queries, model_queries, range_queries, window_queries  # noqa: F401
