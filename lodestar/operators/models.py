@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def kendall_tau_b(df: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
@@ -82,7 +83,7 @@ def leave_one_out_logistic(df: DataFrame, fold: str, label: str, features: list[
     return out if out is not None else df.withColumn("score", F.lit(None).cast("double"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def hypergeometric_tail(x: pd.Series, n: pd.Series, k: pd.Series, m: pd.Series) -> pd.Series:
     """P(X > x) for m draws from n items of which k are marked."""
 
@@ -96,7 +97,7 @@ def hypergeometric_tail(x: pd.Series, n: pd.Series, k: pd.Series, m: pd.Series)
     return pd.Series([tail(*row) for row in zip(x, n, k, m, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p of Student's t by the continued fraction of the incomplete beta function."""
 
@@ -124,7 +125,7 @@ def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
 
 def moderated_t(df: DataFrame, key: list[str], value: str, sd_floor: Column | float) -> DataFrame:
     """Mean, sd raised to the floor, t and p per group; a group of one value has t 0 and p 1."""
-    g = df.groupBy(*key).agg(F.count(value).alias("k"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    g = df.groupBy(*key).agg(F.count(value).alias("n_values"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
     sd = F.greatest(F.coalesce("sd", F.lit(0.0)), F.lit(sd_floor) if isinstance(sd_floor, float) else sd_floor)
-    t = F.when(F.col("k") > 1, F.col("mean") / (sd / F.sqrt("k"))).otherwise(0.0)
-    return g.withColumn("t", t).withColumn("p", F.when(F.col("k") > 1, student_p("t", (F.col("k") - 1).cast("double"))).otherwise(1.0)).drop("sd")
+    t = F.when(F.col("n_values") > 1, F.col("mean") / (sd / F.sqrt("n_values"))).otherwise(0.0)
+    return g.withColumn("t", t).withColumn("p", F.when(F.col("n_values") > 1, student_p("t", (F.col("n_values") - 1).cast("double"))).otherwise(1.0)).drop("sd")
