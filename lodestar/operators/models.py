@@ -120,7 +120,7 @@ def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
         front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
         return front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, 1 - x) / b
 
-    return pd.Series([None if math.isnan(v) else beta_share(n / 2, 0.5, n / (n + v * v)) for v, n in zip(t.astype(float), df.astype(float), strict=True)])
+    return pd.Series([None if math.isnan(v) or n <= 0 else beta_share(n / 2, 0.5, n / (n + v * v)) for v, n in zip(t.astype(float), df.astype(float), strict=True)])
 
 
 def moderated_t(df: DataFrame, key: list[str], value: str, sd_floor: Column | float) -> DataFrame:
