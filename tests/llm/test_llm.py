@@ -280,7 +280,11 @@ def test_banded_distance():
             assert neardup.banded_distance(a, b, limit) == min(plain_distance(a, b), limit + 1)
 
 
-def test_near_duplicates_brute(spark):
+@pytest.mark.parametrize("split", [False, True])
+def test_near_duplicates_brute(spark, monkeypatch, split):
+    if split:  # every class counts as made of shared passages, and every rest above 3 as large
+        monkeypatch.setattr(neardup, "FREE", 99)
+        monkeypatch.setattr(neardup, "SMALL", 3)
     rng = random.Random(4)
     words = [f"w{k}" for k in range(800)]
     texts = [" ".join(rng.choices(words, k=120)) for _ in range(30)]
