@@ -27,7 +27,13 @@ ELL = 2
 SKETCHES = 32
 #: Edit similarity, 1 - distance / words of the longer text, from which two texts are near-duplicates.
 SIMILARITY = 0.8
-#: Classes in one block of a bucket's rest.
+#: Classes up to which a bucket's rest is compared as it is.
+SMALL = 16
+#: A class with so many sketches outside of larger rests meets its near-duplicates there. For the others larger rests
+#: are split by further sketches, LEVELS in all.
+FREE = 12
+LEVELS = 3
+#: Classes in one block of what is still large then.
 BLOCK = 128
 #: Sketches that two classes of a bucket's rest share at least to be verified.
 REST_SHARED = 2
@@ -225,28 +231,60 @@ def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return found.groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text"))
 
 
-def rest_pairs(rest: DataFrame) -> DataFrame:
-    """Candidate pairs among the classes that their bucket's pivot did not verify: (key, id, n_words, sketch).
+def rest_pairs(rest: DataFrame, sketches: int, similarity: float) -> DataFrame:
+    """Candidate pairs (a, b) among what no pivot has linked: rest is (key, band, id, n_words, sketch).
 
-    A bucket is dealt in blocks of about BLOCK classes; each pair of blocks is compared by one task, which emits
-    the pairs that share REST_SHARED sketches and whose lengths allow the similarity.
+    A bucket of SMALL classes or fewer is compared as it is. A larger one is made by a passage that many texts
+    share: its sketch was taken inside of the passage. Near-duplicates agree in sketches all over their texts, so
+    a class with FREE sketches outside of large rests is compared in those. A class that has fewer, made of such
+    passages for the most part, stays in its large rests; they are split by each later band's sketch, and once
+    more if need be, and what is still large then is dealt in blocks of about BLOCK classes, each pair of which is
+    compared by one task. Pairs that share REST_SHARED sketches and whose lengths allow the similarity are emitted.
     """
-    sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    dealt = rest.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    ready = []
+    for level in range(LEVELS):
+        sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        sized = rest.join(sizes, "key")
+        if not level:
+            sized = sized.withColumn("hot", F.lit(0).cast("long"))
+        sized = sized.withColumn("level", F.lit(level))
+        if level + 1 == LEVELS:
+            ready.append(sized)
+            break
+        ready.append(sized.where(F.col("n") <= SMALL))
+        large = sized.where(F.col("n") > SMALL)
+        if not level:
+            bit = F.expr("shiftleft(CAST(1 AS BIGINT), band)")
+            bound = large.groupBy("id").agg(F.count(F.lit(1)).alias("held"), F.bit_or(bit).alias("hot")).where(F.col("held") > sketches - FREE)
+            large = large.drop("hot").join(bound.select("id", "hot"), "id")
+        split = large.select("key", "band", "id", "n_words", "sketch", "hot", F.posexplode("sketch").alias("next", "value")).where("next > band AND (shiftright(hot, next) & 1) = 1")
+        rest = cut(split.select(F.xxhash64("key", "next", "value").alias("key"), F.col("next").alias("band"), "id", "n_words", "sketch", "hot"))
+        if rest.isEmpty():
+            break
+    dealt = ready[0]
+    for more in ready[1:]:
+        dealt = dealt.unionByName(more)
+    dealt = dealt.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "n_words", "sketch")
+    dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "n_words", "sketch", "hot", "band", "level")
 
     def compare(table: pa.Table) -> pa.Table:
         block, p, q = (table.column(c).to_numpy() for c in ("block", "p", "q"))
         ids, words = table.column("id").to_numpy(), table.column("n_words").to_numpy()
         sketch = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        hot, band, level = (table.column(c).to_numpy() for c in ("hot", "band", "level"))
+        in_hot = (hot[:, None] >> np.arange(sketch.shape[1])) & 1 == 1
         left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
         a, b = [], []
         for i in left:
-            shared = (sketch[right] == sketch[i]).sum(axis=1) >= REST_SHARED
-            near = np.minimum(words[right], words[i]) >= SIMILARITY * np.maximum(words[right], words[i])
-            hit = right[shared & near & (ids[right] != ids[i])]
+            agree = sketch[right] == sketch[i]
+            shared = agree.sum(axis=1) >= REST_SHARED
+            if level[0]:  # a pair meets under all its agreeing bands that are large for both; it counts under the first ones
+                upto = int(band[0]) + 1
+                shared &= (agree & in_hot[right] & in_hot[i])[:, :upto].sum(axis=1) == level[0] + 1
+            near = np.minimum(words[right], words[i]) >= similarity * np.maximum(words[right], words[i])
+            hit = right[shared & near & (ids[right] > ids[i])] if p[0] == q[0] else right[shared & near & (ids[right] != ids[i])]
             a.append(np.minimum(ids[hit], ids[i]))
             b.append(np.maximum(ids[hit], ids[i]))
         return pa.table({"a": np.concatenate([np.zeros(0, np.int64), *a]), "b": np.concatenate([np.zeros(0, np.int64), *b])})
@@ -259,7 +297,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     class_id is the smallest doc_id with exactly the same text, component_id the smallest doc_id among all
     documents reachable over near-duplicate links, n_copies how many rows have the text. kept marks the one
-    document that stays: doc_id = component_id, and of repeated rows with one id only the first by text. A null
+    document that stays: doc_id = component_id (all rows of it, if rows with one id are repeated). A null
     text links with nothing (class_id and component_id are its own doc_id, n_copies 1); empty texts are exact
     copies of each other and near nothing else, as are texts of white space. Rows with a null id and a text are
     classed by text; a class with null ids only has null class_id and is kept. Two texts under one doc_id count
@@ -270,22 +308,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(classes_of(some, k, ell, sketches))
     known = classes.where("n_words > 0 AND id IS NOT NULL")
     rows = known.select("id", "n_words", F.posexplode("sketch").alias("band", "value"))
-    rows = rows.select(F.xxhash64("band", "value").alias("key"), "id", "n_words")
+    rows = rows.select(F.xxhash64("band", "value").alias("key"), "band", "id", "n_words")
     order = F.struct(F.xxhash64("id").alias("h"), "id", "n_words")
     pivots = rows.groupBy("key").agg(F.min(order).alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     pivots = pivots.select("key", F.col("pivot.id").alias("pivot"), F.col("pivot.n_words").alias("pivot_words"))
-    met = cut(rows.join(pivots, "key").where("id <> pivot").select("key", "id", "n_words", "pivot", "pivot_words"))
+    met = cut(rows.join(pivots, "key").where("id <> pivot").select("key", "band", "id", "n_words", "pivot", "pivot_words"))
     close = F.least("n_words", "pivot_words") >= similarity * F.greatest("n_words", "pivot_words")
     pairs = met.where(close).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     checked = cut(verify(pairs, texts_of(some, pairs), similarity))
-    links = checked.where("ok").select("a", "b")
-    left = met.join(links.select(F.col("a").alias("pivot"), F.col("b").alias("id")), ["pivot", "id"], "left_anti")
-    rest = left.select("key", "id", "n_words").join(known.select("id", "sketch"), "id").select("key", "id", "n_words", "sketch")
-    more = rest_pairs(rest).join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    found = cut(connected_components(checked.where("ok").select("a", "b")))
+    # of what is not linked with its pivot by now, one class of each component stands for it in a bucket
+    of = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"of_{name}"))
+    left = met.join(of("id"), "id", "left").join(of("pivot"), "pivot", "left")
+    left = left.select("key", "band", "id", "n_words", F.coalesce("of_id", "id").alias("part"), F.coalesce("of_pivot", "pivot").alias("pivot_part")).where("part <> pivot_part")
+    left = left.groupBy("key", "part").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n_words", "band")).alias("one"))
+    left = left.select("key", "one.band", "one.id", "one.n_words")
+    rest = cut(left.join(known.select("id", "sketch"), "id").select("key", "band", "id", "n_words", "sketch"))
+    more = rest_pairs(rest, sketches, similarity).join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = cut(more)
     if not more.isEmpty():
-        links = links.unionByName(verify(more, texts_of(some, more), similarity).where("ok").select("a", "b"))
-    found = connected_components(links)
+        new = verify(more, texts_of(some, more), similarity).where("ok").select("a", "b")
+        whole = cut(connected_components(new.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))))
+        joined = found.join(whole.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left")
+        joined = joined.select("node", F.coalesce("least", "component").alias("component"))
+        found = joined.unionByName(whole.join(found, "node", "left_anti"))
     classes = classes.join(found.select(F.col("node").alias("id"), "component"), "id", "left")
     classes = classes.select("digest", F.col("id").alias("class_id"), "n_copies", F.coalesce("component", "id").alias("component_id"))
     joined = with_class(docs).drop("text").join(classes, "digest", "left")
