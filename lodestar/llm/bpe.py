@@ -25,7 +25,7 @@ from lodestar.llm.common import map_arrow, source_columns
 #: Bytes up to which a word is merged in the rank array.
 SHORT = 48
 #: Words that the cache of one worker holds at most; it is then emptied (results do not depend on it).
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: New words merged in one matrix.
 BLOCK_WORDS = 8192
 NONE = np.int32(2**31 - 1)
