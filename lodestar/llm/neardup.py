@@ -7,8 +7,8 @@ candidates. A candidate is verified by the edit distance of the words inside a b
 threshold allows, computed on bit vectors that slide along the diagonal.
 
 Exact copies are one class from the start. In a bucket of a sketch every class is compared with the bucket's
-pivot, the class of least hashed id; the classes that the pivot does not verify are compared among each other in
-blocks of bounded size, so nothing is capped and no bucket has to fit in one task.
+pivot, the class of least hashed id. The classes that the pivot does not verify are compared among each other in
+blocks of bounded size, so that no bucket has to fit in one task.
 """
 
 from __future__ import annotations
@@ -27,16 +27,14 @@ ELL = 2
 SKETCHES = 32
 #: Edit similarity, 1 - distance / words of the longer text, from which two texts are near-duplicates.
 SIMILARITY = 0.8
-#: Classes up to which a bucket's rest is compared as it is.
+#: Classes up to which an open bucket's pairs are joined as they are; a larger one is dealt in blocks.
 SMALL = 16
-#: A class with so many sketches outside of larger rests meets its near-duplicates there. For the others larger rests
-#: are split by further sketches, LEVELS in all.
+#: Not read any more: classes with so many sketches outside of large buckets used to be left out of those.
 FREE = 12
-LEVELS = 3
-#: Classes in one block of what is still large then.
-BLOCK = 128
-#: Sketches that two classes of a bucket's rest share at least to be verified.
-REST_SHARED = 2
+#: Classes in one block of a large bucket.
+BLOCK = 1024
+#: Cells of the word counts that bound an edit distance from below.
+CELLS = 128
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _POSITION = 24
@@ -100,8 +98,11 @@ def kmer_hashes(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray,
     return value, out_at
 
 
-def order_sketches(data: np.ndarray, at: np.ndarray, k: int = K, ell: int = ELL, sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray]:
-    """Order MinHash [row, sketch] and the number of words of each row; rows without words have zeros."""
+def order_sketches(data: np.ndarray, at: np.ndarray, k: int = K, ell: int = ELL, sketches: int = SKETCHES, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Order MinHash [row, sketch] and the number of words of each row; rows without words have zeros.
+
+    counts, if given, is filled with how many words of each row have a hash of each of CELLS residues, 255 at most.
+    """
     out = np.zeros((len(at) - 1, sketches), np.uint64)
     n_words = np.zeros(len(at) - 1, np.int64)
     seeds = mixed(np.arange(1, sketches + 1, dtype=np.uint64) * _MIX) | np.uint64(1)
@@ -110,6 +111,9 @@ def order_sketches(data: np.ndarray, at: np.ndarray, k: int = K, ell: int = ELL,
     for a, b in row_chunks(at):
         words, words_at = word_hashes(data[at[a] : at[b]], at[a : b + 1] - at[a])
         n_words[a:b] = np.diff(words_at)
+        if counts is not None:
+            cell = np.repeat(np.arange(b - a), n_words[a:b]) * CELLS + (words % np.uint64(CELLS)).astype(np.int64)
+            counts[a:b] = np.minimum(np.bincount(cell, minlength=(b - a) * CELLS), 255).reshape(-1, CELLS)
         value, value_at = kmer_hashes(words, words_at, k)
         full = np.flatnonzero(np.diff(value_at) > 0)
         if not len(full):
@@ -197,17 +201,19 @@ def with_class(docs: DataFrame) -> DataFrame:
 
 
 def classes_of(docs: DataFrame, k: int, ell: int, sketches: int) -> DataFrame:
-    """One row per different non-null text: id (smallest doc_id), digest, n_copies, n_words, sketch."""
+    """One row per different non-null text: id (smallest doc_id), digest, n_copies, n_words, sketch, counts."""
 
     def run(batches):
         for batch in batches:
-            made, n_words = order_sketches(*raw(batch.column(2)), k, ell, sketches)
+            counts = np.zeros((batch.num_rows, CELLS), np.uint8)
+            made, n_words = order_sketches(*raw(batch.column(2)), k, ell, sketches, counts)
             flat = pa.array(made.view(np.int64).ravel(), pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * sketches), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), lists], names=["doc_id", "digest", "n_words", "sketch"])
+            packed = pa.array([c.tobytes() for c in counts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), lists, packed], names=["doc_id", "digest", "n_words", "sketch", "counts"])
 
-    rows = map_arrow(with_class(docs).select("doc_id", "digest", "text"), run, "doc_id long, digest string, n_words long, sketch array<long>")
-    return rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n_copies"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"))
+    rows = map_arrow(with_class(docs).select("doc_id", "digest", "text"), run, "doc_id long, digest string, n_words long, sketch array<long>, counts binary")
+    return rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n_copies"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"), F.first("counts").alias("counts"))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -231,65 +237,75 @@ def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return found.groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text"))
 
 
-def rest_pairs(rest: DataFrame, sketches: int, similarity: float) -> DataFrame:
-    """Candidate pairs (a, b) among what no pivot has linked: rest is (key, band, id, n_words, sketch).
+def unpacked(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Word counts [row, cell] of a binary column."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS)
+
 
-    A bucket of SMALL classes or fewer is compared as it is. A larger one is made by a passage that many texts
-    share: its sketch was taken inside of the passage. Near-duplicates agree in sketches all over their texts, so
-    a class with FREE sketches outside of large rests is compared in those. A class that has fewer, made of such
-    passages for the most part, stays in its large rests; they are split by each later band's sketch, and once
-    more if need be, and what is still large then is dealt in blocks of about BLOCK classes, each pair of which is
-    compared by one task. Pairs that share REST_SHARED sketches and whose lengths allow the similarity are emitted.
+def may_be_similar(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, similarity: float) -> np.ndarray:
+    """False only where texts with word counts x and y and n_x and n_y words cannot be similar.
+
+    Every word of the longer text beyond the words both have costs an edit; cells and the cap of a count can only
+    make more words look common.
     """
-    ready = []
-    for level in range(LEVELS):
-        sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        sized = rest.join(sizes, "key")
-        if not level:
-            sized = sized.withColumn("hot", F.lit(0).cast("long"))
-        sized = sized.withColumn("level", F.lit(level))
-        if level + 1 == LEVELS:
-            ready.append(sized)
-            break
-        ready.append(sized.where(F.col("n") <= SMALL))
-        large = sized.where(F.col("n") > SMALL)
-        if not level:
-            bit = F.expr("shiftleft(CAST(1 AS BIGINT), band)")
-            bound = large.groupBy("id").agg(F.count(F.lit(1)).alias("held"), F.bit_or(bit).alias("hot")).where(F.col("held") > sketches - FREE)
-            large = large.drop("hot").join(bound.select("id", "hot"), "id")
-        split = large.select("key", "band", "id", "n_words", "sketch", "hot", F.posexplode("sketch").alias("next", "value")).where("next > band AND (shiftright(hot, next) & 1) = 1")
-        rest = cut(split.select(F.xxhash64("key", "next", "value").alias("key"), F.col("next").alias("band"), "id", "n_words", "sketch", "hot"))
-        if rest.isEmpty():
-            break
-    dealt = ready[0]
-    for more in ready[1:]:
-        dealt = dealt.unionByName(more)
-    dealt = dealt.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    common = np.minimum(x, y).sum(axis=1, dtype=np.int32)
+    most = np.maximum(x.sum(axis=-1, dtype=np.int32), y.sum(axis=-1, dtype=np.int32))
+    return most - common <= np.floor(np.maximum(n_x, n_y) * (1 - similarity) + 1e-9)
+
+
+def rest_pairs(rest: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs (a, b) of different parts in a bucket: rest is (key, id, part, n_words, counts).
+
+    Every two classes of a bucket that are of different parts are looked at, whatever the bucket's size, and only
+    those whose lengths or word counts rule the similarity out are left out. The pairs of buckets of SMALL classes
+    or fewer are joined; a larger bucket is dealt in blocks of about BLOCK classes, each pair of which is compared
+    by one task.
+    """
+    sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    sized = rest.join(sizes, "key")
+    few = sized.where(F.col("n") <= SMALL)
+    names = ["id", "part", "n_words", "counts"]
+    x = few.select("key", *(F.col(c).alias(f"x_{c}") for c in names))
+    y = few.select("key", *(F.col(c).alias(f"y_{c}") for c in names))
+    near = F.least("x_n_words", "y_n_words") >= similarity * F.greatest("x_n_words", "y_n_words")
+    two = x.join(y, "key").where("x_id < y_id AND x_part <> y_part").where(near).select("x_id", "y_id", "x_n_words", "y_n_words", "x_counts", "y_counts")
+
+    def bound(batches):
+        for batch in batches:
+            n_x, n_y = (batch.column(c).to_numpy() for c in (2, 3))
+            ok = may_be_similar(unpacked(batch.column(4)), unpacked(batch.column(5)), n_x, n_y, similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in (0, 1)], names=["a", "b"])
+
+    dealt = sized.where(F.col("n") > SMALL).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "n_words", "sketch", "hot", "band", "level")
+    dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", *names)
 
     def compare(table: pa.Table) -> pa.Table:
         block, p, q = (table.column(c).to_numpy() for c in ("block", "p", "q"))
-        ids, words = table.column("id").to_numpy(), table.column("n_words").to_numpy()
-        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        hot, band, level = (table.column(c).to_numpy() for c in ("hot", "band", "level"))
-        in_hot = (hot[:, None] >> np.arange(sketch.shape[1])) & 1 == 1
+        ids, part, words = (table.column(c).to_numpy() for c in ("id", "part", "n_words"))
+        counts = unpacked(table.column("counts"))
         left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
-        a, b = [], []
+        right = right[np.argsort(words[right], kind="stable")]
+        lengths = words[right]
+        first = np.searchsorted(lengths, np.floor(words * similarity))
+        last = np.searchsorted(lengths, np.ceil(words / similarity), "right")
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in left:
-            agree = sketch[right] == sketch[i]
-            shared = agree.sum(axis=1) >= REST_SHARED
-            if level[0]:  # a pair meets under all its agreeing bands that are large for both; it counts under the first ones
-                upto = int(band[0]) + 1
-                shared &= (agree & in_hot[right] & in_hot[i])[:, :upto].sum(axis=1) == level[0] + 1
-            near = np.minimum(words[right], words[i]) >= similarity * np.maximum(words[right], words[i])
-            hit = right[shared & near & (ids[right] > ids[i])] if p[0] == q[0] else right[shared & near & (ids[right] != ids[i])]
-            a.append(np.minimum(ids[hit], ids[i]))
-            b.append(np.maximum(ids[hit], ids[i]))
-        return pa.table({"a": np.concatenate([np.zeros(0, np.int64), *a]), "b": np.concatenate([np.zeros(0, np.int64), *b])})
-
-    return dealt.groupBy("key", "p", "q").applyInArrow(compare, "a long, b long").distinct()
+            with_i = right[first[i] : last[i]]
+            with_i = with_i[part[with_i] != part[i]]
+            if p[0] == q[0]:
+                with_i = with_i[ids[with_i] > ids[i]]
+            n = words[with_i]
+            with_i = with_i[np.minimum(n, words[i]) >= similarity * np.maximum(n, words[i])]
+            if len(with_i):
+                hit = with_i[may_be_similar(counts[with_i], counts[i], words[with_i], words[i], similarity)]
+                a.append(np.minimum(ids[hit], ids[i]))
+                b.append(np.maximum(ids[hit], ids[i]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    joined = map_arrow(two, bound, "a long, b long")
+    return joined.unionByName(dealt.groupBy("key", "p", "q").applyInArrow(compare, "a long, b long")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, ell: int = ELL, sketches: int = SKETCHES, similarity: float = SIMILARITY) -> DataFrame:
@@ -308,11 +324,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(classes_of(some, k, ell, sketches))
     known = classes.where("n_words > 0 AND id IS NOT NULL")
     rows = known.select("id", "n_words", F.posexplode("sketch").alias("band", "value"))
-    rows = rows.select(F.xxhash64("band", "value").alias("key"), "band", "id", "n_words")
+    rows = rows.select(F.xxhash64("band", "value").alias("key"), "id", "n_words")
     order = F.struct(F.xxhash64("id").alias("h"), "id", "n_words")
     pivots = rows.groupBy("key").agg(F.min(order).alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     pivots = pivots.select("key", F.col("pivot.id").alias("pivot"), F.col("pivot.n_words").alias("pivot_words"))
-    met = cut(rows.join(pivots, "key").where("id <> pivot").select("key", "band", "id", "n_words", "pivot", "pivot_words"))
+    met = cut(rows.join(pivots, "key").where("id <> pivot").select("key", "id", "n_words", "pivot", "pivot_words"))
     close = F.least("n_words", "pivot_words") >= similarity * F.greatest("n_words", "pivot_words")
     pairs = met.where(close).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     checked = cut(verify(pairs, texts_of(some, pairs), similarity))
@@ -320,11 +336,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # of what is not linked with its pivot by now, one class of each component stands for it in a bucket
     of = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"of_{name}"))
     left = met.join(of("id"), "id", "left").join(of("pivot"), "pivot", "left")
-    left = left.select("key", "band", "id", "n_words", F.coalesce("of_id", "id").alias("part"), F.coalesce("of_pivot", "pivot").alias("pivot_part")).where("part <> pivot_part")
-    left = left.groupBy("key", "part").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n_words", "band")).alias("one"))
-    left = left.select("key", "one.band", "one.id", "one.n_words")
-    rest = cut(left.join(known.select("id", "sketch"), "id").select("key", "band", "id", "n_words", "sketch"))
-    more = rest_pairs(rest, sketches, similarity).join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    left = left.select("key", "id", "n_words", F.coalesce("of_id", "id").alias("part"), F.coalesce("of_pivot", "pivot").alias("pivot_part")).where("part <> pivot_part")
+    left = left.groupBy("key", "part").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n_words")).alias("one"))
+    left = left.select("key", "part", "one.id", "one.n_words")
+    rest = cut(left.join(known.select("id", "counts"), "id").select("key", "id", "part", "n_words", "counts"))
+    more = rest_pairs(rest, similarity).join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = cut(more)
     if not more.isEmpty():
         new = verify(more, texts_of(some, more), similarity).where("ok").select("a", "b")

@@ -307,6 +307,51 @@ def test_near_duplicates_brute(spark, monkeypatch, split):
     assert all(got[i].kept == (root[i] == i) for i in got)
 
 
+def components(texts):
+    """Least index of each text's component over all similar pairs."""
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and neardup.similar(texts[i].encode(), texts[j].encode()):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+def near_components(spark, texts):
+    docs = spark.createDataFrame(pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("block", [1024, 40])
+def test_near_duplicates_in_a_shared_passage(spark, monkeypatch, block):
+    """Pairs whose own parts are edited throughout agree only inside of a passage that 100 other texts have too."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(2000)]
+    passage = rng.choices(words, k=70)
+    texts = []
+    for _ in range(10):
+        own = rng.choices(words, k=30)
+        texts.append(" ".join(passage + own))
+        texts.append(" ".join(passage + [f"v{len(texts)}_{k}" if k % 3 == 1 else w for k, w in enumerate(own)]))
+    texts += [" ".join(passage + rng.choices(words, k=30)) for _ in range(100)]
+    want = components(texts)
+    assert want == [*(k - k % 2 for k in range(20)), *range(20, 120)] and near_components(spark, texts) == want
+
+
+def test_word_counts_never_rule_out_a_similar_pair():
+    rng = random.Random(13)
+    for _ in range(300):
+        a = rng.choices("abcdefgh", k=rng.randint(1, 40)) * rng.choice([1, 40])
+        b = [rng.choice("xyz") if rng.random() < 0.2 else w for w in a if rng.random() > 0.05] or ["q"]
+        texts = [" ".join(a), " ".join(b)]
+        counts = np.zeros((2, neardup.CELLS), np.uint8)
+        _, n = neardup.order_sketches(*raw(pa.array(texts)), counts=counts)
+        assert neardup.may_be_similar(counts[:1], counts[1:], n[:1], n[1:], 0.8)[0] or not neardup.similar(texts[0].encode(), texts[1].encode())
+
+
 def test_sketches_do_not_depend_on_the_batch():
     texts = ["a b c d e f g", "", " x  y", "a b c d e f g", "a b " * 9, "z" * 100]
     whole, n = neardup.order_sketches(*raw(pa.array(texts)))
