@@ -7,8 +7,9 @@ candidates. A candidate is verified by the edit distance of the words inside a b
 threshold allows, computed on bit vectors that slide along the diagonal.
 
 Exact copies are one class from the start. In a bucket of a sketch every class is compared with the bucket's
-pivot, the class of least hashed id. The classes that the pivot does not verify are compared among each other in
-blocks of bounded size, so that no bucket has to fit in one task.
+pivot, the class of least hashed id. In buckets whose classes are in more than one component then, all classes of
+different components are compared with each other, those that the pivot verified included, in blocks of bounded
+size; so nothing is capped and no bucket has to fit in one task.
 """
 
 from __future__ import annotations
@@ -333,13 +334,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = met.where(close).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     checked = cut(verify(pairs, texts_of(some, pairs), similarity))
     found = cut(connected_components(checked.where("ok").select("a", "b")))
-    # of what is not linked with its pivot by now, one class of each component stands for it in a bucket
+    # a bucket is settled if all of its classes are in one component by now; its pivot is compared with all of them
     of = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"of_{name}"))
-    left = met.join(of("id"), "id", "left").join(of("pivot"), "pivot", "left")
-    left = left.select("key", "id", "n_words", F.coalesce("of_id", "id").alias("part"), F.coalesce("of_pivot", "pivot").alias("pivot_part")).where("part <> pivot_part")
-    left = left.groupBy("key", "part").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n_words")).alias("one"))
-    left = left.select("key", "part", "one.id", "one.n_words")
-    rest = cut(left.join(known.select("id", "counts"), "id").select("key", "id", "part", "n_words", "counts"))
+    left = cut(met.join(of("id"), "id", "left").select("key", "id", "n_words", F.coalesce("of_id", "id").alias("part")))
+    open_keys = left.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
+    rest = cut(left.join(open_keys, "key", "left_semi").join(known.select("id", "counts"), "id").select("key", "id", "part", "n_words", "counts"))
     more = rest_pairs(rest, similarity).join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = cut(more)
     if not more.isEmpty():

@@ -324,6 +324,20 @@ def near_components(spark, texts):
     return [got[i] for i in range(len(texts))]
 
 
+def test_near_duplicates_star(spark):
+    """A base and copies with a paragraph inserted at varying places: near the base, hardly any near each other."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(2000)]
+    base = rng.choices(words, k=160)
+    texts = []
+    for k in range(160):
+        at = k + 1
+        texts.append(" ".join(base[:at] + rng.choices(words, k=32) + base[at:]))
+    texts.insert(70, " ".join(base))
+    assert sum(neardup.similar(texts[0].encode(), t.encode()) for t in texts) < 10
+    assert components(texts) == [0] * 161 == near_components(spark, texts)
+
+
 @pytest.mark.parametrize("block", [1024, 40])
 def test_near_duplicates_in_a_shared_passage(spark, monkeypatch, block):
     """Pairs whose own parts are edited throughout agree only inside of a passage that 100 other texts have too."""
