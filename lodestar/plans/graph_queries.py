@@ -59,6 +59,33 @@ def bfs_depth_3(spark, sf_dir):
     return graph.breadth_first(e, e.agg(F.min("a").alias("node")), 3)
 
 
+#: Every order is a link; 900 of the nodes are hubs.
+ALL_EDGES = "SELECT DISTINCT o_custkey AS a, o_orderkey % 900 + 100000 AS b FROM orders"
+
+
+def all_edges(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 900 + 100000).alias("b")).distinct()
+
+
+portable("undirected_2hop_all", f"""
+WITH e AS ({ALL_EDGES}), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e)
+SELECT x.a AS node, count(DISTINCT y.b) AS two_hop FROM u x JOIN u y ON x.b = y.a WHERE y.b <> x.a GROUP BY x.a""")
+
+
+@query("connected_components_all")  # no SQL: a recursive closure is quadratic in a component; tested against union-find
+def connected_components_all(spark, sf_dir):
+    return graph.connected_components(all_edges(spark, sf_dir))
+
+
+@query("bfs_depth_3_all", f"""
+WITH RECURSIVE e AS MATERIALIZED ({ALL_EDGES}), u AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e), s AS (SELECT min(a) AS node FROM e),
+r AS (SELECT node, 0 AS depth FROM s UNION SELECT u.b, r.depth + 1 FROM r JOIN u ON r.node = u.a WHERE r.depth < 3)
+SELECT node, min(depth) AS depth FROM r GROUP BY node""")
+def bfs_depth_3_all(spark, sf_dir):
+    e = all_edges(spark, sf_dir)
+    return graph.breadth_first(e, e.agg(F.min("a").alias("node")), 3)
+
+
 portable("identity_resolution", """
 WITH alias AS (SELECT upper(trim(n_name)) AS alias, n_nationkey AS gene FROM nation UNION ALL SELECT upper(trim(c_mktsegment)), c_nationkey FROM customer),
 d AS (SELECT alias, count(DISTINCT gene) AS genes, min(gene) AS gene FROM alias GROUP BY alias)
