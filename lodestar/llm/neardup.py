@@ -23,9 +23,9 @@ from lodestar.llm.common import map_arrow, raw, row_chunks, source_columns
 from lodestar.operators.graph import connected_components
 from lodestar.session import cut
 
-K = 5
+K = 3
 ELL = 2
-SKETCHES = 32
+SKETCHES = 48
 #: Edit similarity, 1 - distance / words of the longer text, from which two texts are near-duplicates.
 SIMILARITY = 0.8
 #: Classes up to which an open bucket's pairs are joined as they are; a larger one is dealt in blocks.
