@@ -21,9 +21,14 @@ KINDS = [
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]+", 0, 24),
 ]
-#: Kinds that this scan adds: private key headers and signed web tokens.
+#: A private key from header to end line; one that is cut off has its header and the lines of base64 after it.
+PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-{1,4}+[^-]++){0,64}+-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+){0,400}+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{1,15}+={1,2}+)?+)"
+)
+#: Kinds that this scan adds: private keys and signed web tokens.
 MORE_KINDS = [
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("pem", PEM, 0, 1),
     ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
 ]
 #: What must occur for a kind's pattern to be tried at all, where that is cheaper to test.
@@ -32,6 +37,8 @@ HINTS = {"hex": r"[0-9a-f]{24}", "access": r"AKIA[A-Z0-9]{16}", "pem": "PRIVATE
 EXAMPLE_OWNERS = 3
 #: A live-looking value has so many characters and different characters at least, letters and digits.
 LIVE_CHARS, LIVE_DISTINCT = 16, 8
+#: The same for what is assigned to a password, token or the like, where the name says that it is a secret.
+ASSIGNED_CHARS, ASSIGNED_DISTINCT = 6, 5
 PLACEHOLDER = r"(?i)example|placeholder|change_?me|dummy|xxxx|your[_-]?(key|token|secret|password)"
 MARK = "[SECRET]"
 
@@ -71,9 +78,20 @@ def maybe_secret(text: Column) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def looks_random(value: Column) -> Column:
+def looks_random(value: Column, chars: int = LIVE_CHARS, least: int = LIVE_DISTINCT) -> Column:
     distinct = F.size(F.array_distinct(F.split(value, "")))
-    return (F.length(value) >= LIVE_CHARS) & (distinct >= LIVE_DISTINCT) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(PLACEHOLDER)
+    return (F.length(value) >= chars) & (distinct >= least) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(PLACEHOLDER)
+
+
+def looks_live(kind: Column, value: Column) -> Column:
+    """Whether a value of few owners is taken for a credential."""
+    more = kind.isin([k for k, *_ in MORE_KINDS])
+    return more | looks_random(value) | ((kind == "assign") & looks_random(value, ASSIGNED_CHARS, ASSIGNED_DISTINCT))
+
+
+def owned(kind: Column, value: Column) -> Column:
+    """What owners are counted on: the value, of a private key without its line breaks."""
+    return F.when(kind == "pem", F.regexp_replace(value, r"\s|\\[nr]", "")).otherwise(value)
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, repo_col: str) -> DataFrame:
@@ -86,11 +104,11 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, repo_col: str) -> Da
 def live_spans(found: DataFrame) -> DataFrame:
     """doc_id, text_key, live, n_copied of the rows with spans; found is candidates(), already computed."""
     each = found.select("doc_id", "text_key", "repo", F.explode("found").alias("s"))
-    each = each.select("doc_id", "text_key", "repo", F.coalesce(F.substring_index("repo", "/", 1), F.lit("")).alias("owner"), "s", F.sha2("s.value", 256).alias("hash"))
+    each = each.select("doc_id", "text_key", "repo", F.coalesce(F.substring_index("repo", "/", 1), F.lit("")).alias("owner"), "s", F.sha2(owned(F.col("s.kind"), F.col("s.value")), 256).alias("hash"))
     in_repo = each.groupBy("hash", "owner", "repo").agg(F.count(F.lit(1)).alias("places"))
     in_owner = in_repo.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"))
     spread = in_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
-    judged = each.join(spread, "hash").select("doc_id", "text_key", "s", "owners", ((F.col("owners") < EXAMPLE_OWNERS) & ((F.col("s.rank") >= len(KINDS)) | looks_random(F.col("s.value")))).alias("is_live"))
+    judged = each.join(spread, "hash").select("doc_id", "text_key", "s", "owners", ((F.col("owners") < EXAMPLE_OWNERS) & looks_live(F.col("s.kind"), F.col("s.value"))).alias("is_live"))
     start = F.when(F.col("s.kind") == "assign", F.col("s.end") - F.length("s.value")).otherwise(F.col("s.start"))
     live = F.struct(start.alias("start"), F.lit(len(KINDS) + len(MORE_KINDS)).alias("rank"), F.lit("live").alias("kind"), F.col("s.end").alias("end"))
     return judged.groupBy("doc_id", "text_key").agg(
