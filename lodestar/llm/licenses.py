@@ -1,6 +1,6 @@
 """License scan: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A document's words are dealt in blocks of BLOCK words that overlap by half. A block meets a template if it
+A document's words are dealt in blocks of BLOCK words, or twice the longest template's, that overlap by half. A block meets a template if it
 contains at least CONTAINED of the template's distinct words. All template words are ranked by how many documents
 of the corpus have them, the rarest first. With n words and o = ceil(CONTAINED * n) needed, a block that meets the
 template has one of its n - o + 1 rarest words (prefix filter), has at least o template words (length filter) and
@@ -41,7 +41,7 @@ TEMPLATES = [
 ]
 
 CONTAINED = 0.9
-#: Words in a block; twice the words of the longest template at least, as blocks overlap by half.
+#: Words in a block at least; it has twice the words of the longest template if that is more, as blocks overlap by half.
 BLOCK = 80
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,10 +55,15 @@ def words_of(text: Column) -> Column:
     return F.filter(pieces, lambda w: w != "")
 
 
-def template_words(notice: str) -> list[str]:
-    """Distinct words of a notice, by the rule of words_of."""
+def notice_words(notice: str) -> list[str]:
+    """Words of a notice, by the rule of words_of."""
     plain = "".join(c.lower() if c.isascii() and c.isalnum() or c > "\x7f" else " " for c in notice)
-    return sorted(set(plain.split()))
+    return plain.split()
+
+
+def template_words(notice: str) -> list[str]:
+    """Distinct words of a notice."""
+    return sorted(set(notice_words(notice)))
 
 
 def strings(values: list[str]) -> Column:
@@ -109,7 +114,7 @@ def scan(
     rare = sorted({r for *_, prefix in index for r in prefix})
     ints = lambda values: F.array(*(F.lit(v) for v in values))
     table = F.array(*(F.struct(F.lit(label).alias("label"), ints(ranks).alias("ranks"), F.lit(need).alias("need"), ints(prefix).alias("prefix")) for label, ranks, need, prefix in index))
-    half = block // 2
+    half = max(block // 2, *(len(notice_words(notice)) for _, notice in templates), 1)
 
     out = rows.select("doc_id", words_of(F.col("text")).alias("words"))
     out = out.withColumn("hot", F.arrays_overlap("words", strings([order[r] for r in rare])))
