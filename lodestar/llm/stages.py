@@ -38,8 +38,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left; the last stage."""
-    return bpe.encode_decode(docs, vocabulary_path())
+    """Token ids of every document that is left, with their number and digests; the last stage."""
+    return bpe.encode_decode(docs, vocabulary_path(), keep_ids=True)
 
 
 STAGES = [
