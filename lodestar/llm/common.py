@@ -73,6 +73,13 @@ def source_columns(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*(F.col(f"`{name}`").alias(short) for short, name in wanted.items()))
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that is not taken yet: name with underscores before it."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = f"_{name}"
+    return name
+
+
 def held_out(doc_id: Column) -> Column:
     """The documents that no model learns from: crc32 of the id as text is divisible by 5."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
