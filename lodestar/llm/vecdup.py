@@ -23,8 +23,10 @@ from lodestar.operators.graph import connected_components
 from lodestar.session import cut
 
 THRESHOLD = 0.98
-#: Vectors in a block of a cell.
-BLOCK = 256
+#: Vectors in a block of a cell: a row is copied once for each block of its cell, and a tile takes BLOCK * BLOCK products.
+BLOCK = 1024
+#: Cells up to which their sizes are broadcast to the rows, so that the rows of a large cell do not meet before they are dealt.
+SMALL_CELLS = 200_000
 #: Vectors, about, that the basis is computed from; any orthonormal basis gives the same result.
 BASIS_SAMPLE = 4096
 #: Dimensions accumulated before each bound.
@@ -144,6 +146,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     stays = cut(placed.select("id", "label", "v", "copies", "dim", F.explode(F.array_compact(F.array(*homes))).alias("c")).select("id", "label", "v", "copies", "dim", "c.cx", "c.cy", "c.home"))
     cell = ["label", "dim", "cx", "cy"]
     sizes = stays.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("n_home")).where("n > 1 AND n_home > 0")
+    sizes = cut(sizes)
+    if sizes.count() <= SMALL_CELLS:
+        sizes = F.broadcast(sizes)
     dealt = stays.join(sizes, cell).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
