@@ -12,7 +12,7 @@ that neither marker can occur there: a backslash becomes two, `### ` becomes `\\
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HEAD, END = "### ", "</turn>\n"
@@ -91,19 +91,34 @@ def masked(formatted: Column, spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
 
 
-def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, formatted, loss_spans of a table with one row per turn.
+def events_of(rows: DataFrame) -> DataFrame:
+    """Event log (conv_id, message, seq, kind, role, text) of (conv_id, turn, role, text), in no order.
 
-    Each row becomes the log of one message: its text in two streamed deltas. Rows of one turn number (ties,
-    repeated rows) are messages of their own, ordered by role and text; null turns come first.
+    A table of turns has only what was said in the end, so the log is that of a client that streams: every message
+    begins with a draft that is regenerated, then a first delta comes that an edit replaces, then the rest. The
+    sequence numbers run through the conversation; messages are ordered by turn, role and text.
     """
-    from pyspark.sql import Window
+    message = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    draft = F.concat(F.reverse(F.substring("text", 1, 8)), F.lit(" ..."))
+    steps = [
+        (4, DELTA, F.substring(F.col("text"), half + 1, F.length("text"))),
+        (1, REGENERATE, F.lit("")),
+        (3, EDIT, F.substring(F.col("text"), F.lit(1), half)),
+        (0, DELTA, draft),
+        (2, DELTA, F.upper(F.substring("text", 1, 8))),
+    ]
+    first = F.col("message").cast("long") * len(steps)
+    each = F.array(*(F.struct((first + k).alias("seq"), F.lit(kind).alias("kind"), text.alias("text")) for k, kind, text in steps))
+    return rows.withColumn("message", message).withColumn("event", F.explode(each)).select("conv_id", "message", "role", "event.seq", "event.kind", "event.text")
 
+
+def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """conv_id, formatted, loss_spans of a table with one row per turn, by way of its event log.
+
+    Rows of one turn number (ties, repeated rows) are messages of their own, ordered by role and text; null turns
+    come first. Other columns are not looked at.
+    """
     slim = rows.select(*(F.col(f"`{c}`").alias(a) for c, a in ((conv_col, "conv_id"), (turn_col, "turn"), (role_col, "role"), (text_col, "text"))))
-    slim = slim.withColumn("text", F.coalesce("text", F.lit("")))
-    slim = slim.withColumn("part", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
-    half = F.floor(F.length("text") / 2).cast("int")
-    first = F.struct(F.lit(0).alias("seq"), F.lit(DELTA).alias("kind"), F.substring("text", F.lit(1), half).alias("text"))
-    second = F.struct(F.lit(1).alias("seq"), F.lit(DELTA).alias("kind"), F.substring(F.col("text"), half + 1, F.length("text")).alias("text"))
-    events = slim.withColumn("event", F.explode(F.array(first, second))).select("conv_id", "turn", "part", "role", "event.seq", "event.kind", "event.text")
-    return render(fold(events, ["conv_id", "turn", "part"]), "conv_id", ["turn", "part"])
+    events = events_of(slim.withColumn("text", F.coalesce("text", F.lit(""))))
+    return render(fold(events, ["conv_id", "message"]), "conv_id", ["message"])
