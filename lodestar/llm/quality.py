@@ -137,12 +137,15 @@ class WeakLabels:
         return out
 
 
-def gram_cells(data: np.ndarray) -> np.ndarray:
-    """Hash bucket of the byte trigram that begins at each position."""
+def gram_cells(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hash bucket of the byte trigram that begins at each position; it ends with its text."""
     code = np.zeros(len(data), np.uint64)
     code[:] = data
     for t in (1, 2):
         code[:-t] += data[t:].astype(np.uint64) << np.uint64(8 * t)
+    sizes = np.diff(at)
+    code[at[1:][sizes > 0] - 1] &= np.uint64(0xFF)
+    code[at[1:][sizes > 1] - 2] &= np.uint64(0xFFFF)
     return ((code * _GRAM) >> np.uint64(64 - 12)).astype(np.int64)
 
 
@@ -165,7 +168,7 @@ def scores(data: np.ndarray, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
     for a, b in row_chunks(at):
         part, part_at = data[at[a] : at[b]], at[a : b + 1] - at[a]
         stats, n_words = statistics(part, part_at)
-        sums = np.concatenate([[0.0], np.cumsum(weights[gram_cells(part)])]) if len(part) else np.zeros(1)
+        sums = np.concatenate([[0.0], np.cumsum(weights[gram_cells(part, part_at)])]) if len(part) else np.zeros(1)
         z = (sums[part_at[1:]] - sums[part_at[:-1]]) / np.maximum(np.diff(part_at), FULL_BYTES) * 10 + weights[stat_cells(stats, n_words)].sum(axis=1) + weights[-1]
         out[a:b] = np.where(n_words > 0, 1 / (1 + np.exp(-z)), 0.0)
     return out
@@ -185,24 +188,34 @@ def vote_counts(texts: DataFrame) -> DataFrame:
 
 
 def sample_features(texts: DataFrame) -> DataFrame:
-    """(cells, pattern) of the sampled texts: dense features as 32-bit floats."""
+    """(cells, values, pattern) of the sampled texts: cells that are not zero as 16-bit and their values as 32-bit numbers."""
 
     def run(batches):
         for batch in batches:
             data, at = raw(batch.column(0))
-            cells, patterns = [], []
+            cells, values, patterns = [], [], []
             for k in range(len(at) - 1):
                 part = data[at[k] : at[k + 1]]
                 stats, n_words = statistics(part, np.array([0, len(part)]))
                 x = np.zeros(WIDTH, np.float32)
                 if len(part):
-                    x[:BUCKETS] = np.bincount(gram_cells(part), minlength=BUCKETS) / max(len(part), FULL_BYTES) * 10
+                    x[:BUCKETS] = np.bincount(gram_cells(part, np.array([0, len(part)])), minlength=BUCKETS) / max(len(part), FULL_BYTES) * 10
                 x[stat_cells(stats, n_words)[0]] = 1
-                cells.append(x.tobytes())
+                some = np.flatnonzero(x)
+                cells.append(some.astype(np.uint16).tobytes())
+                values.append(x[some].tobytes())
                 patterns.append(int(pattern_of(votes(stats, n_words))[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.binary()), pa.array(patterns, pa.int64())], names=["cells", "pattern"])
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.binary()), pa.array(values, pa.binary()), pa.array(patterns, pa.int64())], names=["cells", "values", "pattern"])
 
-    return map_arrow(texts, run, "cells binary, pattern long")
+    return map_arrow(texts, run, "cells binary, values binary, pattern long")
+
+
+def dense(cells: list[bytes], values: list[bytes]) -> np.ndarray:
+    """Features [text, WIDTH] of a bounded sample."""
+    out = np.zeros((len(cells), WIDTH), np.float32)
+    for k, (c, v) in enumerate(zip(cells, values, strict=True)):
+        out[k, np.frombuffer(c, np.uint16)] = np.frombuffer(v, np.float32)
+    return out
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, WeakLabels]:
@@ -218,7 +231,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     sample = sample_features(texts.where(point < train_docs / total).select(F.col(f"`{text_col}`").alias("text"))).toArrow()
     if not sample.num_rows:
         return weights, labels
-    return fit(np.frombuffer(b"".join(sample.column("cells").to_pylist()), np.float32).reshape(-1, WIDTH), sample.column("pattern").to_numpy(), labels), labels
+    x = dense(sample.column("cells").to_pylist(), sample.column("values").to_pylist())
+    return fit(x, sample.column("pattern").to_numpy(), labels), labels
 
 
 def fit(x: np.ndarray, patterns: np.ndarray, labels: WeakLabels) -> np.ndarray:
