@@ -7,9 +7,13 @@ candidates. A candidate is verified by the edit distance of the words inside a b
 threshold allows, computed on bit vectors that slide along the diagonal.
 
 Exact copies are one class from the start. In a bucket of a sketch every class is compared with the bucket's
-pivot, the class of least hashed id. In buckets whose classes are in more than one component then, all classes of
-different components are compared with each other, those that the pivot verified included, in blocks of bounded
-size; so nothing is capped and no bucket has to fit in one task.
+pivot, the class of least hashed id. What is left are buckets whose classes are in more than one component then.
+In such a bucket all classes of different components are compared, in blocks; the words that two texts have in common
+bound their edit distance, so that few pairs are left to align. A bucket of more than MIDDLE classes comes of a passage
+that very many texts share. Its classes go through an exact set-similarity join over their words instead, whose work
+follows the words that are rare among them and not the square of the bucket. Nothing is capped or dropped: two classes
+that agree in a sketch are aligned, unless they are in one component already or a bound proves that they cannot be
+similar.
 """
 
 from __future__ import annotations
@@ -28,14 +32,20 @@ ELL = 2
 SKETCHES = 48
 #: Edit similarity, 1 - distance / words of the longer text, from which two texts are near-duplicates.
 SIMILARITY = 0.8
-#: Classes up to which an open bucket's pairs are joined as they are; a larger one is dealt in blocks.
+#: Texts of fewer words have SHORT_SKETCHES more sketches, of ELL single words: few of their k-mers outlive an edit.
+SHORT_WORDS, SHORT_SKETCHES = 32, 16
+#: Classes up to which the pairs of an open bucket are joined as they are; larger ones are compared in blocks.
 SMALL = 16
-#: Not read any more: classes with so many sketches outside of large buckets used to be left out of those.
-FREE = 12
-#: Classes in one block of a large bucket.
+#: Classes from which an open bucket is not compared pair by pair any more, but joined by its rare words.
+MIDDLE = 4096
+#: Classes that a task compares with each other; larger buckets, and larger groups of one rare word, are dealt in blocks.
 BLOCK = 1024
-#: Cells of the word counts that bound an edit distance from below.
-CELLS = 128
+#: Ids up to which texts are picked by broadcasting them (8 bytes each), so that the other texts are not shuffled.
+FEW_IDS = 1_000_000
+#: Cells of the word counts that bound an edit distance from below, and the count from which a cell is full.
+CELLS, FULL = 256, 15
+#: Cells (as a power of two) in which the words of the classes of large buckets are counted, to rank them.
+RANK_BITS = 18
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _POSITION = 24
@@ -102,7 +112,7 @@ def kmer_hashes(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray,
 def order_sketches(data: np.ndarray, at: np.ndarray, k: int = K, ell: int = ELL, sketches: int = SKETCHES, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Order MinHash [row, sketch] and the number of words of each row; rows without words have zeros.
 
-    counts, if given, is filled with how many words of each row have a hash of each of CELLS residues, 255 at most.
+    counts, if given, is filled with how many words of each row have a hash of each of CELLS residues, FULL at most.
     """
     out = np.zeros((len(at) - 1, sketches), np.uint64)
     n_words = np.zeros(len(at) - 1, np.int64)
@@ -114,7 +124,7 @@ def order_sketches(data: np.ndarray, at: np.ndarray, k: int = K, ell: int = ELL,
         n_words[a:b] = np.diff(words_at)
         if counts is not None:
             cell = np.repeat(np.arange(b - a), n_words[a:b]) * CELLS + (words % np.uint64(CELLS)).astype(np.int64)
-            counts[a:b] = np.minimum(np.bincount(cell, minlength=(b - a) * CELLS), 255).reshape(-1, CELLS)
+            counts[a:b] = np.minimum(np.bincount(cell, minlength=(b - a) * CELLS), FULL).reshape(-1, CELLS)
         value, value_at = kmer_hashes(words, words_at, k)
         full = np.flatnonzero(np.diff(value_at) > 0)
         if not len(full):
@@ -201,17 +211,34 @@ def with_class(docs: DataFrame) -> DataFrame:
     return docs.withColumn("digest", F.sha2(F.col("text"), 256))
 
 
+def packed(counts: np.ndarray) -> pa.Array:
+    """Word counts [row, cell] as a binary column, two cells a byte."""
+    return pa.array([c.tobytes() for c in counts[:, ::2] | counts[:, 1::2] << np.uint8(4)], pa.binary())
+
+
+def unpacked(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Word counts [row, cell] of a binary column."""
+    both = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS // 2)
+    return np.stack([both & np.uint8(15), both >> np.uint8(4)], axis=2).reshape(-1, CELLS)
+
+
 def classes_of(docs: DataFrame, k: int, ell: int, sketches: int) -> DataFrame:
     """One row per different non-null text: id (smallest doc_id), digest, n_copies, n_words, sketch, counts."""
 
     def run(batches):
         for batch in batches:
             counts = np.zeros((batch.num_rows, CELLS), np.uint8)
-            made, n_words = order_sketches(*raw(batch.column(2)), k, ell, sketches, counts)
-            flat = pa.array(made.view(np.int64).ravel(), pa.int64())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * sketches), flat)
-            packed = pa.array([c.tobytes() for c in counts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), lists, packed], names=["doc_id", "digest", "n_words", "sketch", "counts"])
+            data, at = raw(batch.column(2))
+            made, n_words = order_sketches(data, at, k, ell, sketches, counts)
+            rows = list(made.view(np.int64))
+            short = np.flatnonzero((n_words < SHORT_WORDS) & (n_words > 0))
+            if len(short):
+                texts = pa.array([data[at[r] : at[r + 1]].tobytes().decode("utf-8", "replace") for r in short], pa.large_string())
+                for r, more in zip(short.tolist(), order_sketches(*raw(texts), 1, ell, SHORT_SKETCHES)[0].view(np.int64), strict=True):
+                    rows[r] = np.concatenate([rows[r], more])
+            offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *rows]), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), lists, packed(counts)], names=["doc_id", "digest", "n_words", "sketch", "counts"])
 
     rows = map_arrow(with_class(docs).select("doc_id", "digest", "text"), run, "doc_id long, digest string, n_words long, sketch array<long>, counts binary")
     return rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n_copies"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"), F.first("counts").alias("counts"))
@@ -233,38 +260,27 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
 def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """One text for each id in pairs."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = pairs.select(F.col("a").alias("doc_id")).distinct().unionByName(pairs.select(F.col("b").alias("doc_id")).distinct()).distinct()
+    ids = cut(ids)
+    if ids.count() <= FEW_IDS:
+        ids = F.broadcast(ids)
     found = docs.where("text IS NOT NULL").join(ids, "doc_id", "left_semi")
     return found.groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text"))
 
 
-def unpacked(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Word counts [row, cell] of a binary column."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS)
-
-
 def may_be_similar(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, similarity: float) -> np.ndarray:
     """False only where texts with word counts x and y and n_x and n_y words cannot be similar.
 
-    Every word of the longer text beyond the words both have costs an edit; cells and the cap of a count can only
-    make more words look common.
+    Every word that one text has beyond those of the other costs an edit; cells that hold several words and full
+    cells can only make the texts look more alike.
     """
     common = np.minimum(x, y).sum(axis=1, dtype=np.int32)
     most = np.maximum(x.sum(axis=-1, dtype=np.int32), y.sum(axis=-1, dtype=np.int32))
     return most - common <= np.floor(np.maximum(n_x, n_y) * (1 - similarity) + 1e-9)
 
 
-def rest_pairs(rest: DataFrame, similarity: float) -> DataFrame:
-    """Candidate pairs (a, b) of different parts in a bucket: rest is (key, id, part, n_words, counts).
-
-    Every two classes of a bucket that are of different parts are looked at, whatever the bucket's size, and only
-    those whose lengths or word counts rule the similarity out are left out. The pairs of buckets of SMALL classes
-    or fewer are joined; a larger bucket is dealt in blocks of about BLOCK classes, each pair of which is compared
-    by one task.
-    """
-    sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    sized = rest.join(sizes, "key")
-    few = sized.where(F.col("n") <= SMALL)
+def small_pairs(few: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of different parts in buckets of bounded size that no bound rules out."""
     names = ["id", "part", "n_words", "counts"]
     x = few.select("key", *(F.col(c).alias(f"x_{c}") for c in names))
     y = few.select("key", *(F.col(c).alias(f"y_{c}") for c in names))
@@ -277,39 +293,210 @@ def rest_pairs(rest: DataFrame, similarity: float) -> DataFrame:
             ok = may_be_similar(unpacked(batch.column(4)), unpacked(batch.column(5)), n_x, n_y, similarity)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in (0, 1)], names=["a", "b"])
 
-    dealt = sized.where(F.col("n") > SMALL).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    return map_arrow(two, bound, "a long, b long")
+
+
+def short_words(texts: DataFrame) -> DataFrame:
+    """(id, words): the words of (id, text) as sorted 16-bit hashes."""
+
+    def run(batches):
+        for batch in batches:
+            data, at = raw(batch.column(1))
+            out = []
+            for a, b in row_chunks(at):
+                words, words_at = word_hashes(data[at[a] : at[b]], at[a : b + 1] - at[a])
+                out += [np.sort((words[x:y] >> np.uint64(48)).astype(np.uint16)).tobytes() for x, y in zip(words_at, words_at[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "words"])
+
+    return map_arrow(texts.select("id", "text"), run, "id long, words binary")
+
+
+def block_pairs(middle: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs (a, b) of different parts in buckets: middle is (key, n, id, part, n_words, keys, words).
+
+    A bucket is dealt in blocks of about BLOCK classes, each pair of which is compared by one task. keys are all
+    buckets of a class; a pair comes out of the first bucket that both are in. Of the pairs that their lengths and
+    word counts do not rule out, the words are compared as sets with repetitions; a hash that two words share can
+    only make texts look more alike.
+    """
+    dealt = middle.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", *names)
+    dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "part", "n_words", "keys", "words")
 
     def compare(table: pa.Table) -> pa.Table:
-        block, p, q = (table.column(c).to_numpy() for c in ("block", "p", "q"))
-        ids, part, words = (table.column(c).to_numpy() for c in ("id", "part", "n_words"))
-        counts = unpacked(table.column("counts"))
+        block, p, q, key = (table.column(c).to_numpy() for c in ("block", "p", "q", "key"))
+        ids, part, n = (table.column(c).to_numpy() for c in ("id", "part", "n_words"))
+        words = [np.frombuffer(w, np.uint16) for w in table.column("words").to_pylist()]
+        cells = np.stack([np.minimum(np.bincount(w % CELLS, minlength=CELLS), FULL) for w in words]).astype(np.uint8)
+        keys = [frozenset(k) for k in table.column("keys").to_pylist()]
+        counted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
-        right = right[np.argsort(words[right], kind="stable")]
-        lengths = words[right]
-        first = np.searchsorted(lengths, np.floor(words * similarity))
-        last = np.searchsorted(lengths, np.ceil(words / similarity), "right")
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in left:
+        right = right[np.argsort(n[right], kind="stable")]
+        lengths = n[right]
+        first = np.searchsorted(lengths, np.floor(n * similarity))
+        last = np.searchsorted(lengths, np.ceil(n / similarity), "right")
+        a, b = [], []
+        for i in left.tolist():
             with_i = right[first[i] : last[i]]
             with_i = with_i[part[with_i] != part[i]]
             if p[0] == q[0]:
                 with_i = with_i[ids[with_i] > ids[i]]
-            n = words[with_i]
-            with_i = with_i[np.minimum(n, words[i]) >= similarity * np.maximum(n, words[i])]
+            m = n[with_i]
+            with_i = with_i[np.minimum(m, n[i]) >= similarity * np.maximum(m, n[i])]
             if len(with_i):
-                hit = with_i[may_be_similar(counts[with_i], counts[i], words[with_i], words[i], similarity)]
-                a.append(np.minimum(ids[hit], ids[i]))
-                b.append(np.maximum(ids[hit], ids[i]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+                with_i = with_i[may_be_similar(cells[with_i], cells[i], n[with_i], n[i], similarity)]
+            if not len(with_i):
+                continue
+            own = np.bincount(words[i], minlength=1 << 16)
+            for j in with_i.tolist():
+                if j not in counted:
+                    counted[j] = np.unique(words[j], return_counts=True)
+                value, times = counted[j]
+                longer = max(int(n[i]), int(n[j]))
+                if longer - int(np.minimum(own[value], times).sum()) <= int(longer * (1 - similarity) + 1e-9) and min(keys[i] & keys[j]) == key[0]:
+                    a.append(min(ids[i], ids[j]))
+                    b.append(max(ids[i], ids[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("key", "p", "q").applyInArrow(compare, "a long, b long")
+
+
+def word_tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrence-labelled word hashes of all rows and their offsets."""
+    return kmer_hashes(*word_hashes(data, at), 1)
+
+
+def word_ranks(texts: DataFrame) -> np.ndarray:
+    """How often the words of each of 2 ** RANK_BITS cells occur in (id, text); its size does not grow with the rows."""
+
+    def run(batches):
+        sums = np.zeros(1 << RANK_BITS, np.int64)
+        for batch in batches:
+            data, at = raw(batch.column(0))
+            for a, b in row_chunks(at):
+                tokens, _ = word_tokens(data[at[a] : at[b]], at[a : b + 1] - at[a])
+                sums += np.bincount((tokens >> np.uint64(64 - RANK_BITS)).astype(np.int64), minlength=len(sums))
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(sums[some], pa.int64())], names=["cell", "n"])
+
+    found = map_arrow(texts.select("text"), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << RANK_BITS, np.int64)
+    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def prefixes(data: np.ndarray, at: np.ndarray, ranks: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, row, long) of the rarest words of each row, from which a similar text must have one.
+
+    Of two similar texts the longer one, of n words, has at most (1 - similarity) * n words that the other has not.
+    So the rarest word that both have, in an order that is the same for all texts, is among that many words and one
+    more of either text in its order. A text of n words may be the shorter one, and the longer one has then
+    n / similarity words at most; long marks the words that count if the text is the longer one.
+    """
+    tokens, tokens_at = word_tokens(data, at)
+    n = np.diff(tokens_at)
+    row = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((tokens, ranks[(tokens >> np.uint64(64 - RANK_BITS)).astype(np.int64)], row))
+    place = np.arange(len(tokens)) - np.repeat(tokens_at[:-1], n)
+    if_longer = np.floor(n * (1 - similarity) + 1e-6)
+    if_shorter = np.floor(n / similarity * (1 - similarity) + 1e-6)
+    kept = place <= np.repeat(if_shorter, n)
+    return tokens[order[kept]], row[order[kept]], (place <= np.repeat(if_longer, n))[kept]
+
+
+def pairs_in_groups(group: np.ndarray, sides: np.ndarray, ids: np.ndarray, part: np.ndarray, n: np.ndarray, long: np.ndarray, counts: pa.Array, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of rows that stand next to each other with one group number, sorted by n within a group.
+
+    sides: 0 for a group whose rows are all compared with each other, else 1 or 2, and only rows of different sides
+    are compared.
+    """
+    at, found = np.arange(len(group)), [np.zeros((0, 2), np.int64)]
+    cells = unpacked(counts)
+    step = 0
+    while len(at):
+        step += 1
+        at = at[at < len(group) - step]
+        other = at + step
+        near = (group[at] == group[other]) & (n[at] >= similarity * n[other] - 1e-9)
+        at, other = at[near], other[near]
+        ok = (part[at] != part[other]) & (long[other] | (long[at] & (n[at] == n[other]))) & ((sides[at] == 0) | (sides[at] != sides[other]))
+        x, y = at[ok], other[ok]
+        for k in range(0, len(x), 16384):
+            u, v = x[k : k + 16384], y[k : k + 16384]
+            hit = may_be_similar(cells[u], cells[v], n[u], n[v], similarity)
+            if hit.any():
+                u, v = ids[u[hit]], ids[v[hit]]
+                found.append(np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def word_pairs(many: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs (a, b) of different parts: an exact set-similarity join of (id, part, text) over words.
+
+    Words are ranked by how often they occur in these texts. Each text is dealt to the groups of its rarest words
+    (prefixes), and the texts of a group are compared by length and word counts. A group of more than BLOCK texts is
+    dealt in blocks, each pair of which is compared by one task. Every similar pair comes out.
+    """
+    ranks = many.sparkSession.sparkContext.broadcast(word_ranks(many))
 
-    joined = map_arrow(two, bound, "a long, b long")
-    return joined.unionByName(dealt.groupBy("key", "p", "q").applyInArrow(compare, "a long, b long")).distinct()
+    def deal(batches):
+        for batch in batches:
+            data, at = raw(batch.column(2))
+            for a, b in row_chunks(at):
+                part, part_at = data[at[a] : at[b]], at[a : b + 1] - at[a]
+                tokens, row, long = prefixes(part, part_at, ranks.value, similarity)
+                words, words_at = word_hashes(part, part_at)
+                cell = np.repeat(np.arange(b - a), np.diff(words_at)) * CELLS + (words % np.uint64(CELLS)).astype(np.int64)
+                counts = packed(np.minimum(np.bincount(cell, minlength=(b - a) * CELLS), FULL).reshape(-1, CELLS).astype(np.uint8))
+                of = pa.array(row)
+                own = [batch.column(c).slice(a, b - a).take(of) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), *own, pa.array(np.diff(words_at)[row], pa.int64()), pa.array(long), counts.take(of)], names=["token", "id", "part", "n_words", "long", "counts"])
+
+    tokens = cut(map_arrow(many.select("id", "part", "text"), deal, "token long, id long, part long, n_words long, long boolean, counts binary"))
+    groups = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max("long").alias("long_one"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+    groups = groups.where("n > 1 AND long_one AND lo <> hi").select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = tokens.join(groups, "token").withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    p, q = F.least("block", "other"), F.greatest("block", "other")
+    side = F.when(p == q, 0).when(F.col("block") == p, 1).otherwise(2)
+    dealt = dealt.select(F.xxhash64("token", p, q).alias("group"), "token", p.alias("p"), q.alias("q"), side.alias("side"), "id", "part", "n_words", "long", "counts")
+    dealt = dealt.repartition("group").sortWithinPartitions("group", "token", "p", "q", "n_words")
 
+    def compare(batches):
+        held: list[pa.RecordBatch] = []
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, ell: int = ELL, sketches: int = SKETCHES, similarity: float = SIMILARITY) -> DataFrame:
+        def emit(rows: pa.Table) -> pa.RecordBatch:
+            token, p, q, side, ids, part, n = (rows.column(c).to_numpy() for c in ("token", "p", "q", "side", "id", "part", "n_words"))
+            new = np.concatenate([[True], (token[1:] != token[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
+            a, b = pairs_in_groups(np.cumsum(new), side, ids, part, n, rows.column("long").to_numpy(zero_copy_only=False), rows.column("counts"), similarity)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < 4 * BLOCK:
+                continue
+            whole = pa.Table.from_batches(held)
+            token, p, q = (whole.column(c).to_numpy() for c in ("token", "p", "q"))
+            same = (token == token[-1]) & (p == p[-1]) & (q == q[-1])
+            begin = rows - int(np.argmin(same[::-1])) if not same.all() else 0  # where the last group, which may go on, begins
+            if begin:
+                yield emit(whole.slice(0, begin))
+                held, rows = whole.slice(begin).to_batches(), rows - begin
+        if rows:
+            yield emit(pa.Table.from_batches(held))
+
+    return map_arrow(dealt, compare, "a long, b long").distinct()
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, ell: int = ELL, sketches: int = SKETCHES, similarity: float = SIMILARITY, exact: bool = False
+) -> DataFrame:
     """doc_id, class_id, component_id, n_copies, kept: one row per document.
 
     class_id is the smallest doc_id with exactly the same text, component_id the smallest doc_id among all
@@ -318,7 +505,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text links with nothing (class_id and component_id are its own doc_id, n_copies 1); empty texts are exact
     copies of each other and near nothing else, as are texts of white space. Rows with a null id and a text are
     classed by text; a class with null ids only has null class_id and is kept. Two texts under one doc_id count
-    as one document. Other columns are not looked at.
+    as one document. Other columns are not looked at. exact: all classes go through the join of the large buckets,
+    so that no link is left to the chance of a shared sketch.
     """
     docs = source_columns(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     some = docs.where("text IS NOT NULL")
@@ -328,19 +516,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.select(F.xxhash64("band", "value").alias("key"), "id", "n_words")
     order = F.struct(F.xxhash64("id").alias("h"), "id", "n_words")
     pivots = rows.groupBy("key").agg(F.min(order).alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pivots = pivots.select("key", F.col("pivot.id").alias("pivot"), F.col("pivot.n_words").alias("pivot_words"))
-    met = cut(rows.join(pivots, "key").where("id <> pivot").select("key", "id", "n_words", "pivot", "pivot_words"))
+    pivots = pivots.select("key", F.col("pivot.id").alias("pivot"), F.col("pivot.n_words").alias("pivot_words"), (F.col("n") > 2).alias("more"))
+    met = cut(rows.join(pivots, "key").where("id <> pivot").select("key", "id", "n_words", "pivot", "pivot_words", "more"))
     close = F.least("n_words", "pivot_words") >= similarity * F.greatest("n_words", "pivot_words")
     pairs = met.where(close).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     checked = cut(verify(pairs, texts_of(some, pairs), similarity))
     found = cut(connected_components(checked.where("ok").select("a", "b")))
-    # a bucket is settled if all of its classes are in one component by now; its pivot is compared with all of them
+    # a bucket is settled if it has no more than its pivot and one class, which are compared by now, or if all of its
+    # classes are in one component
     of = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"of_{name}"))
-    left = cut(met.join(of("id"), "id", "left").select("key", "id", "n_words", F.coalesce("of_id", "id").alias("part")))
-    open_keys = left.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    rest = cut(left.join(open_keys, "key", "left_semi").join(known.select("id", "counts"), "id").select("key", "id", "part", "n_words", "counts"))
-    more = rest_pairs(rest, similarity).join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = cut(more)
+    left = cut(met.where("more").join(of("id"), "id", "left").select("key", "id", "n_words", F.coalesce("of_id", "id").alias("part")))
+    open_keys = left.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", "n")
+    rest = cut(left.join(open_keys, "key"))
+    few = rest.where(F.col("n") <= SMALL).join(known.select("id", "counts"), "id").select("key", "id", "part", "n_words", "counts")
+    more = small_pairs(few, similarity)
+    middle = rest.where((F.col("n") > SMALL) & (F.col("n") <= MIDDLE))
+    many = rest.where(F.col("n") > MIDDLE).select("id", "part").distinct()
+    if exact:
+        many = known.select("id").join(of("id"), "id", "left").select("id", F.coalesce("of_id", "id").alias("part"))
+    if not middle.isEmpty():
+        keys = middle.groupBy("id").agg(F.collect_list("key").alias("keys"))  # no more than a class has sketches
+        words = short_words(texts_of(some, keys.select(F.col("id").alias("a"), F.col("id").alias("b"))))
+        more = more.unionByName(block_pairs(middle.join(keys.join(words, "id"), "id"), similarity))
+    if not many.isEmpty():
+        many = many.join(texts_of(some, many.select(F.col("id").alias("a"), F.col("id").alias("b"))), "id")
+        more = more.unionByName(word_pairs(cut(many), similarity))
+    more = cut(more.distinct().join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if not more.isEmpty():
         new = verify(more, texts_of(some, more), similarity).where("ok").select("a", "b")
         whole = cut(connected_components(new.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))))

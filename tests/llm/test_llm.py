@@ -57,24 +57,92 @@ def test_edges_one_row_per_document(odd, name):
 
 @pytest.mark.parametrize("k", range(len(stages.STAGES)))
 def test_stage_edges(spark, odd, k):
-    docs = odd.select(*(c for c in ["doc_id", "text", "lang", "source", "n_chars"]))
+    """Extra columns keep their values, whatever names the operators use for columns of their own."""
+    names = ["folded", "contaminated", "coverage", "best_item", "digest", "_live", "_clean", "row", "own_score", "component_id"]
+    docs = odd.drop("digest").withColumns({c: F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in names})
     out = stages.STAGES[k][1](spark, docs, SF)
     assert k == 4 or out.columns == docs.columns
-    assert out.count() <= docs.count()
+    rows = out.collect()
+    if k < 4:
+        whole = collections.Counter(tuple(r) for r in docs.drop("text", "n_chars").collect())
+        assert not collections.Counter(tuple(r) for r in out.drop("text", "n_chars").collect()) - whole
+    ids = collections.Counter(r.doc_id for r in rows)
+    every = collections.Counter(r.doc_id for r in docs.collect())
+    assert {0: ids[2] == 0 and ids[3] == 0, 1: ids == collections.Counter({None: 1, 1: 1, 2: 1, 3: 1, 5: 1, 6: 1, 7: 1}), 2: ids == every, 3: ids == every, 4: ids == every}[k]
     assert stages.STAGES[k][1](spark, docs.limit(0), SF).count() == 0
 
 
+def test_different_texts_under_one_id_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "other words entirely in here"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in stages.neardup_stage(spark, docs, SF).collect()) == [(1, "a b c d e f"), (1, "other words entirely in here")]
+
+
+def test_secrets_many_spans_and_hot_values(spark, monkeypatch):
+    """Positions of more spans than a chunk holds, and values that go by broadcast."""
+    long = " ".join(f"token={'k%05dAbz' % k}" for k in range(1500))
+    rows = [(1, long, "one/r"), (2, None, None), *((10 + k, "token = sharedA1b2C3d4E5f6", f"o{k % 2}/r{k}") for k in range(6)), (30, "token = onlyA1b2C3d4E5f6 token = onlyA1b2C3d4E5f6", "solo/x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    usual = {r.doc_id: tuple(r) for r in secrets.scan(docs).collect()}
+    assert usual[1][1] == 1500 and usual[10][7] == 1 and usual[10][6] == 0 and usual[30][6] == 2  # two owners in six repositories: copied
+    assert usual[1][4] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in base_spans(long)).encode()).hexdigest()
+    monkeypatch.setattr(secrets, "HOT_ROWS", 1)
+    assert {r.doc_id: tuple(r) for r in secrets.scan(docs).collect()} == usual
+    assert secrets.redact(docs).where("doc_id = 30").first().text == "token = [SECRET] token = [SECRET]"
+
+
 def test_langid_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert (got.lang == got.lang_pred).mean() > 0.9 and got.score.between(0, 1).all()
 
 
-def test_langid_code_lengths_sum_to_one(spark):
-    docs = spark.createDataFrame([(k, "abc abd " * 3, "x") for k in range(9)], "doc_id long, text string, lang string")
-    trees = langid.train(docs)
-    total = np.exp2(-trees.bits.reshape(-1, langid.SYMBOLS, 1).astype(float)).sum(axis=1)
-    assert np.allclose(total[trees.row_of], 1.0, atol=1e-3) or (total <= 1 + 1e-3).all()
+def ppm_bits(texts, context, symbol):
+    """Code length of a byte after three bytes, from counted contexts: escape method C with exclusion."""
+    counts = [collections.defaultdict(collections.Counter) for _ in range(4)]
+    for text in texts:
+        padded = b"\0\0\0" + text
+        for i in range(3, len(padded)):
+            for order in range(4):
+                counts[order][padded[i - order : i]][padded[i]] += 1
+    bits, out = 0.0, set()
+    for order in (3, 2, 1, 0):
+        seen = {k: v for k, v in counts[order].get(context[3 - order :], {}).items() if k not in out}
+        if seen:
+            n, distinct = sum(seen.values()), len(seen)
+            if symbol in seen:
+                return bits + np.log2((n + distinct) / seen[symbol])
+            bits += np.log2((n + distinct) / distinct)
+        out |= set(seen)
+    return bits + np.log2(256 - len(out))
+
+
+@pytest.mark.parametrize("cells", [0, 8, 1000])
+def test_langid_code_lengths_against_brute_force(cells):
+    rng = random.Random(5)
+    for _ in range(12):
+        texts = [bytes(rng.choice(b"abc \xc3") for _ in range(rng.randint(1, 60))) for _ in range(3)]
+        grams, n = np.unique(np.concatenate([langid.gram_codes(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in texts]), return_counts=True)
+        trees = langid.Trees(["x"], {"x": (grams.astype(np.int64), n)}, cells)
+        for _ in range(40):
+            context, symbol = bytes(rng.choice(b"abc \xc3z") for _ in range(3)), rng.choice(b"abcz \xc3")
+            code = np.array([int.from_bytes(context + bytes([symbol]), "big")], np.uint32)
+            assert abs(trees.gram_bits(code)[0, 0] - ppm_bits(texts, context, symbol)) < 1e-4
+
+
+def test_langid_code_lengths_sum_to_one():
+    text = ("abc abd é " * 3).encode()
+    grams, n = np.unique(langid.gram_codes(np.frombuffer(text, np.uint8), np.array([0, len(text)])), return_counts=True)
+    tree = langid.Tree(grams.astype(np.int64), n.astype(float))
+    for context in (b"abc", b"zab", b"zzz", b"\0\0\0"):
+        bits = tree.bits(int.from_bytes(context + b"\0", "big") + np.arange(256))
+        assert abs(np.exp2(-bits).sum() - 1) < 1e-9
+
+
+def test_langid_whole_texts_and_ties(spark):
+    rows = [(k, "aaab " * 4, "x") for k in range(8)] + [(k, "aaab " * 4, "w") for k in range(8, 16)] + [(20, "aaab " * 30000 + "q", None)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[0].lang_pred == "w" and abs(got[0].score - 0.5) < 0.2  # equal trees: the language that sorts first
+    assert got[20].lang_pred in ("w", "x") and 0 <= got[20].score <= 1
 
 
 def test_langid_und(odd):
@@ -149,6 +217,41 @@ def test_quality(spark):
     assert min(model.accuracies()) > 0.5
 
 
+def test_em_against_plain_loops():
+    """Shares and vote probabilities after all rounds, from one text at a time."""
+    rng = np.random.default_rng(4)
+    k = len(quality.LABELLERS)
+    bad = rng.random(300) < 0.3
+    vote = np.where(rng.random((300, k)) < 0.4, np.where(bad[:, None] ^ (rng.random((300, k)) < 0.2), 2, 1), rng.choice([0, quality.SHORT], (300, k)))
+    patterns, counts = np.unique(quality.pattern_of(vote), return_counts=True)
+    model = quality.WeakLabels(patterns, counts.astype(float))
+    share, before = 0.2, [[0.55, 0.43, 0.02], [0.4, 0.1, 0.5]]
+    given = [[list(b) for b in before] for _ in range(k)]
+    for _ in range(quality.EM_ROUNDS):
+        post = []
+        for v in vote:
+            p = [1 - share, share]
+            for j in range(k):
+                if v[j] != quality.SHORT:
+                    p = [p[c] * given[j][c][v[j]] for c in (0, 1)]
+            post.append(p[1] / sum(p))
+        share = min(max(sum(post) / len(post), 1e-3), 1 - 1e-3)
+        for j in range(k):
+            for c in (0, 1):
+                n = [quality.BELIEF * len(vote) * before[c][x] + sum(q if c else 1 - q for q, v in zip(post, vote, strict=True) if v[j] == x) for x in range(3)]
+                given[j][c] = [x / sum(n) for x in n]
+    assert abs(model.bad - share) < 1e-6 and np.allclose(model.given, given, atol=1e-6) and abs(model.bad - bad.mean()) < 0.08
+
+
+def test_quality_scores_against_single_texts(spark, odd):
+    """Every text gets the score that it gets alone; words decide, ids and other columns do not."""
+    weights, _ = quality.train(odd)
+    got = quality.classify(odd).collect()
+    for r in got:
+        data, at = raw(pa.array([r.text], pa.string()))
+        assert abs(r.score - quality.scores(data, at, weights)[0]) < 1e-9 and r.kept == (r.score >= 0.5)
+
+
 def test_bpe_equals_library(spark, odd):
     from tokenizers import Tokenizer
 
@@ -183,9 +286,67 @@ def test_decontam_reordered_and_blocks(spark):
     assert decontam.decontaminate(clean, bench).where("contaminated").count() == 0
 
 
-def test_tiles_are_greedy_and_do_not_overlap():
-    seeds = [(0, 0), (1, 1), (2, 2), (20, 3), (21, 4), (40, 0)]
-    assert decontam.covered(seeds, 8) == 6  # the run of six words first; what is left of (20, 3) is too short
+def greedy_tiles(x, y):
+    """Words covered by marking the longest unmarked common run again and again, the leftmost of equals."""
+    in_x, in_y, total = [False] * len(x), [False] * len(y), 0
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(x)):
+            for j in range(len(y)):
+                k = 0
+                while i + k < len(x) and j + k < len(y) and x[i + k] == y[j + k] and not in_x[i + k] and not in_y[j + k]:
+                    k += 1
+                if k > best[0]:
+                    best = (k, i, j)
+        k, i, j = best
+        if k < decontam.TILE:
+            return total
+        in_x[i : i + k] = in_y[j : j + k] = [True] * k
+        total += k
+
+
+def test_tiles_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(150):
+        letters = "abcdefgh"[: rng.choice([1, 2, 3, 8])]
+        x, y = ([rng.choice(letters) for _ in range(rng.randint(4, n))] for n in (60, 40))
+        items = decontam.Items([7], [" ".join(y)], 0.0)
+        words, _ = decontam.plain_words(*raw(pa.array([" ".join(x)])))
+        place, seed = items.hits(decontam.seed_hashes(words))
+        found = items.find(words, place, seed) if len(place) else []
+        want = greedy_tiles(x, y)
+        assert [c for _, c, _ in found] == ([want] if want >= items.need[0] else [])
+
+
+def test_tiles_of_repeated_seeds_need_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    for kinds in (1, 2):
+        x, y = rng.integers(0, kinds, 20000).astype(np.uint64), rng.integers(0, kinds, 2000).astype(np.uint64)
+        tracemalloc.start()
+        assert decontam.covered(x, np.arange(19997), y, np.arange(1997)) > 1900
+        assert tracemalloc.get_traced_memory()[1] < 20e6
+        tracemalloc.stop()
+
+
+def test_decontam_against_brute_force(spark):
+    """Whole fixtures: every document against every item."""
+    items = pq.read_table(f"{SF}/benchmark.parquet").to_pandas()
+    docs = pq.read_table(f"{SF}/documents.parquet").to_pandas().head(120)
+    rng = random.Random(2)
+    texts = [t if k % 3 else " ".join(t.split()[:30] + rng.choice(items.text.tolist()).split()[: rng.randint(4, 30)]) for k, t in enumerate(docs.text)]
+    frame = spark.createDataFrame(pd.DataFrame({"doc_id": docs.doc_id, "text": texts}))
+    got = {r.doc_id: (r.n_items, r.best_item) for r in decontam.decontaminate(frame, spark.createDataFrame(items)).collect()}
+    words = lambda t: re.sub(r"[^a-z0-9\x80-\U0010ffff]+", " ", t.lower()).split()
+    for doc, text in zip(docs.doc_id, texts, strict=True):
+        w, found = words(text), []
+        for item, y in zip(items.item_id, map(words, items.text), strict=True):
+            if {tuple(w[i : i + 4]) for i in range(len(w) - 3)} & {tuple(y[i : i + 4]) for i in range(len(y) - 3)}:
+                c = greedy_tiles(w, y)
+                if c >= max(0.6 * len(y), min(len(y), 8)):
+                    found.append((-c / len(y), item))
+        assert got[doc] == (len(found), min(found)[1] if found else None)
 
 
 def test_chat_round_trip(spark):
@@ -199,6 +360,15 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_log_is_folded_back(spark):
+    """Drafts, a regeneration and an edit stand in the log of every message and leave nothing in the result."""
+    rows = [(1, 0, "user", "hello there"), (1, 1, "assistant", ""), (1, 2, "assistant", "é😀 abcdefghijk")]
+    events = chat.events_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert collections.Counter(r.kind for r in events.collect()) == {"delta": 9, "edit": 3, "regenerate": 3}
+    got = chat.fold(events.repartition(3), ["conv_id", "message"]).orderBy("message").collect()
+    assert [(r.role, r.text) for r in got] == [r[2:] for r in rows]
+
+
 def test_chat_fold(spark):
     log = [(1, "m", 1, "delta", "user", "Hel"), (1, "m", 2, "delta", None, "lo"), (1, "n", 3, "delta", "assistant", "bad"), (1, "n", 4, "regenerate", None, None), (1, "n", 5, "delta", None, "good"), (1, "o", 6, "delta", "user", "x"), (1, "o", 7, "edit", None, "y"), (1, "o", 8, "delta", None, "z"), (1, "p", 9, "delta", "user", "gone"), (1, "p", 10, "remove", None, None)]
     got = chat.fold(spark.createDataFrame(log, "conv long, msg string, seq long, kind string, role string, text string"), ["conv", "msg"]).collect()
@@ -227,6 +397,17 @@ def test_urls(spark):
     assert urlfilter.judge(df.limit(0)).count() == 0
 
 
+def test_url_regression_held_out():
+    """Urls of sites that the labelled table does not have."""
+    good = ["https://en.wiki.example/wiki/Mitochondria", "https://docs.tool.example/library/reference.html", "https://news.local.example/2020/science/rivers", "https://www.college.example/chemistry/lecture-notes", "https://museum.history.example/collection/coins", "https://garden.forum.example/t/roses/31"]
+    bad = ["http://cheap-viagra.example/buy-now", "http://casino-jackpot-win.example/bonus/free-spins", "http://hot-xxx-cams.example/adult/girls", "http://free-keygen-crack.example/download", "http://fast-payday-money.example/apply-now", "http://replica-outlet-sale.example/discount/watches"]
+    weights = urlfilter.train(urlfilter.WANTED.split(), urlfilter.UNWANTED.split())
+    parts = [urlfilter.split_url(u) for u in good + bad]
+    cells, at = urlfilter.features(pa.array([h for h, _ in parts]), pa.array([p for _, p in parts]))
+    z = np.array([weights[cells[a:b]].sum() / np.sqrt(b - a) for a, b in zip(at, at[1:], strict=False)]) + weights[-1]
+    assert ((z > 0) == np.array([False] * 6 + [True] * 6)).mean() >= 0.9
+
+
 def test_url_features_match_single_rows():
     hosts, paths = pa.array(["abc.de", "", "x"]), pa.array(["/p", "", "/long/path"])
     cells, at = urlfilter.features(hosts, paths)
@@ -280,11 +461,12 @@ def test_banded_distance():
             assert neardup.banded_distance(a, b, limit) == min(plain_distance(a, b), limit + 1)
 
 
-@pytest.mark.parametrize("split", [False, True])
-def test_near_duplicates_brute(spark, monkeypatch, split):
-    if split:  # every class counts as made of shared passages, and every rest above 3 as large
-        monkeypatch.setattr(neardup, "FREE", 99)
-        monkeypatch.setattr(neardup, "SMALL", 3)
+@pytest.mark.parametrize("way", ["usual", "blocks", "words", "exact"])
+def test_near_duplicates_brute(spark, monkeypatch, way):
+    if way in ("blocks", "words"):  # every bucket of three classes is compared in small blocks, or joined by words
+        monkeypatch.setattr(neardup, "SMALL", 2)
+        monkeypatch.setattr(neardup, "MIDDLE", 4096 if way == "blocks" else 2)
+        monkeypatch.setattr(neardup, "BLOCK", 10)
     rng = random.Random(4)
     words = [f"w{k}" for k in range(800)]
     texts = [" ".join(rng.choices(words, k=120)) for _ in range(30)]
@@ -296,7 +478,7 @@ def test_near_duplicates_brute(spark, monkeypatch, split):
         texts.append(" ".join(w))
         texts.append(passage + " " + " ".join(rng.choices(words, k=60)))
     docs = spark.createDataFrame(pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
-    got = {r.doc_id: r for r in neardup.near_duplicates(docs).collect()}
+    got = {r.doc_id: r for r in neardup.near_duplicates(docs, exact=way == "exact").collect()}
     root = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
@@ -338,10 +520,11 @@ def test_near_duplicates_star(spark):
     assert components(texts) == [0] * 161 == near_components(spark, texts)
 
 
-@pytest.mark.parametrize("block", [1024, 40])
-def test_near_duplicates_in_a_shared_passage(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "middle"), [(1024, 4096), (40, 4096), (40, 50)])
+def test_near_duplicates_in_a_shared_passage(spark, monkeypatch, block, middle):
     """Pairs whose own parts are edited throughout agree only inside of a passage that 100 other texts have too."""
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "MIDDLE", middle)
     rng = random.Random(12)
     words = [f"w{k}" for k in range(2000)]
     passage = rng.choices(words, k=70)
@@ -355,17 +538,69 @@ def test_near_duplicates_in_a_shared_passage(spark, monkeypatch, block):
     assert want == [*(k - k % 2 for k in range(20)), *range(20, 120)] and near_components(spark, texts) == want
 
 
+def edited(rng, words, share, letters):
+    """A copy with a share of its words replaced, dropped or put in."""
+    out = []
+    for w in words:
+        kind = rng.random()
+        out += [w] if kind > share else [[rng.choice(letters)], [], [w, rng.choice(letters)]][rng.randrange(3)]
+    return out or [words[0]]
+
+
 def test_word_counts_never_rule_out_a_similar_pair():
     rng = random.Random(13)
     for _ in range(300):
         a = rng.choices("abcdefgh", k=rng.randint(1, 40)) * rng.choice([1, 40])
-        b = [rng.choice("xyz") if rng.random() < 0.2 else w for w in a if rng.random() > 0.05] or ["q"]
-        texts = [" ".join(a), " ".join(b)]
+        texts = [" ".join(a), " ".join(edited(rng, a, 0.15, "xyz"))]
         counts = np.zeros((2, neardup.CELLS), np.uint8)
         _, n = neardup.order_sketches(*raw(pa.array(texts)), counts=counts)
+        assert (neardup.unpacked(neardup.packed(counts)) == counts).all()
         assert neardup.may_be_similar(counts[:1], counts[1:], n[:1], n[1:], 0.8)[0] or not neardup.similar(texts[0].encode(), texts[1].encode())
 
 
+def test_similar_texts_share_a_prefix_word():
+    """The rarest words of similar texts meet, and the longer one's does as a word of the longer."""
+    rng = random.Random(15)
+    similar = 0
+    for _ in range(400):
+        a = rng.choices("abcdefghijklmnop", k=rng.randint(1, 60))
+        b = edited(rng, a, 0.15, "qrstuv")
+        texts = [" ".join(a), " ".join(b)]
+        if not neardup.similar(texts[0].encode(), texts[1].encode()):
+            continue
+        similar += 1
+        ranks = np.random.default_rng(similar).integers(0, 5, 1 << neardup.RANK_BITS)
+        token, row, long = neardup.prefixes(*raw(pa.array(texts)), ranks, 0.8)
+        first, second = ({t: x for t, r, x in zip(token.tolist(), row.tolist(), long.tolist(), strict=True) if r == k} for k in (0, 1))
+        longer = first if len(a) >= len(b) else second
+        assert any(longer[t] for t in first.keys() & second.keys())
+    assert similar > 100
+
+
+@pytest.mark.parametrize("n", [6, 12, 30, 60, 200, 1000])
+def test_recall_of_candidates(n):
+    """Random pairs with scattered substitutions share a sketch, at every length and down to the threshold."""
+    rng = random.Random(n)
+    words = [f"w{k}" for k in range(5000)]
+    for similarity in (0.8, 0.85, 0.9):
+        edits = int(n * (1 - similarity) + 1e-9)
+        shared = []
+        for k in range(120):
+            a = rng.choices(words, k=n)
+            b = list(a)
+            for at in rng.sample(range(n), edits):
+                b[at] = f"x{k}_{at}"
+            texts = pa.array([" ".join(a), " ".join(b)])
+            assert neardup.similar(*(t.as_py().encode() for t in texts))
+            made, _ = neardup.order_sketches(*raw(texts))
+            hit = (made[0] == made[1]).any()
+            if n < neardup.SHORT_WORDS:
+                more, _ = neardup.order_sketches(*raw(texts), 1, neardup.ELL, neardup.SHORT_SKETCHES)
+                hit |= (more[0] == more[1]).any()
+            shared.append(hit)
+        assert np.mean(shared) >= 0.9, (n, similarity)
+
+
 def test_sketches_do_not_depend_on_the_batch():
     texts = ["a b c d e f g", "", " x  y", "a b c d e f g", "a b " * 9, "z" * 100]
     whole, n = neardup.order_sketches(*raw(pa.array(texts)))
