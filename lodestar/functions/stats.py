@@ -46,7 +46,11 @@ def welch_t(mean_a: Column, var_a: Column, n_a: Column, mean_b: Column, var_b: C
     return (mean_b - mean_a) / F.sqrt(var_a / n_a + var_b / n_b)
 
 
-def powerlaw_contact(distance: Column, gamma: float = 1.024238616787792, scale: float = 5.9594510043736655, least: int = 5000) -> Column:
+#: Exponent and scale of the power law of contacts.
+GAMMA, SCALE = 1.024238616787792, 5.9594510043736655
+
+
+def powerlaw_contact(distance: Column, gamma: float = GAMMA, scale: float = SCALE, least: int = 5000) -> Column:
     return F.exp(F.lit(scale) - F.lit(gamma) * F.log(F.greatest(distance, F.lit(least)) + 1))
 
 
@@ -55,3 +59,21 @@ def na_poison(value: str, how: str) -> Column:
     x = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
     agg = {"max": F.max, "min": F.min, "sum": F.sum, "mean": F.avg, "median": F.median}[how]
     return F.when(F.count(F.lit(1)) == F.count(x), agg(x))
+
+
+def anova(df: DataFrame, group: str, value: str) -> DataFrame:
+    """One row (groups, n, f, p) of the variance between groups over that within them, from each group's own variance.
+
+    Without variance within groups f is infinite and p 0 if the means differ, else both are null, as for one group.
+    """
+    from lodestar.functions.numeric import f_tail
+
+    x = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("v"))
+    grand = x.agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("_g"))
+    d = F.col("m") - F.col("_g")
+    s = x.crossJoin(F.broadcast(grand)).agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.sum(F.col("n") * d * d).alias("_b"), F.sum((F.col("n") - 1) * F.col("v")).alias("_w"))
+    ok = (F.col("groups") > 1) & (F.col("n") > F.col("groups"))
+    f = F.when(ok & (F.col("_w") > 0), (F.col("_b") / (F.col("groups") - 1)) / (F.col("_w") / (F.col("n") - F.col("groups")))).when(ok & (F.col("_b") > 0), float("inf"))
+    s = s.withColumn("f", f)
+    p = F.when(F.col("f").isNotNull(), f_tail(F.coalesce("f", F.lit(0.0)), F.greatest(F.col("groups") - 1, F.lit(1)).cast("double"), F.greatest(F.col("n") - F.col("groups"), F.lit(1)).cast("double")))
+    return s.select("groups", "n", "f", p.alias("p"))

@@ -8,7 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+
+from lodestar.functions.numeric import hypergeometric_tail, student_p  # noqa: F401
 
 
 def kendall_tau_b(df: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
@@ -83,49 +84,17 @@ def leave_one_out_logistic(df: DataFrame, fold: str, label: str, features: list[
     return out if out is not None else df.withColumn("score", F.lit(None).cast("double"))
 
 
-@F.pandas_udf(DoubleType())
-def hypergeometric_tail(x: pd.Series, n: pd.Series, k: pd.Series, m: pd.Series) -> pd.Series:
-    """P(X > x) for m draws from n items of which k are marked."""
-
-    def log_choose(a: float, b: float) -> float:
-        return math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
-
-    def tail(x: float, n: float, k: float, m: float) -> float:
-        total = log_choose(n, m)
-        return min(1.0, sum(math.exp(log_choose(k, i) + log_choose(n - k, m - i) - total) for i in range(int(x) + 1, int(min(k, m)) + 1) if m - i <= n - k))
-
-    return pd.Series([tail(*row) for row in zip(x, n, k, m, strict=True)])
-
-
-@F.pandas_udf(DoubleType())
-def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    """Two-sided p of Student's t by the continued fraction of the incomplete beta function."""
+def moderated_t(df: DataFrame, key: list[str], value: str, sd_floor: Column | float, sd_counting: str | None = None) -> DataFrame:
+    """(key, n_values, mean, sd, sd_used, t, df, p) per group: sd raised to a floor and to the group's counting bound.
 
-    def fraction(a: float, b: float, x: float) -> float:
-        c, d = 1.0, 1 - (a + b) * x / (a + 1)
-        d = 1 / (d or 1e-30)
-        h = d
-        for m in range(1, 200):
-            for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                d = 1 / ((1 + num * d) or 1e-30)
-                c = (1 + num / c) or 1e-30
-                h *= d * c
-            if abs(d * c - 1) < 1e-13:
-                break
-        return h
-
-    def beta_share(a: float, b: float, x: float) -> float:
-        if x <= 0 or x >= 1:
-            return float(x >= 1)
-        front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-        return front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, 1 - x) / b
-
-    return pd.Series([None if math.isnan(v) or n <= 0 else beta_share(n / 2, 0.5, n / (n + v * v)) for v, n in zip(t.astype(float), df.astype(float), strict=True)])
-
-
-def moderated_t(df: DataFrame, key: list[str], value: str, sd_floor: Column | float) -> DataFrame:
-    """Mean, sd raised to the floor, t and p per group; a group of one value has t 0 and p 1."""
-    g = df.groupBy(*key).agg(F.count(value).alias("n_values"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
-    sd = F.greatest(F.coalesce("sd", F.lit(0.0)), F.lit(sd_floor) if isinstance(sd_floor, float) else sd_floor)
-    t = F.when(F.col("n_values") > 1, F.col("mean") / (sd / F.sqrt("n_values"))).otherwise(0.0)
-    return g.withColumn("t", t).withColumn("p", F.when(F.col("n_values") > 1, student_p("t", (F.col("n_values") - 1).cast("double"))).otherwise(1.0)).drop("sd")
+    sd_counting names a column with the bound of each group (its largest value counts). A group of one value, or without
+    any spread after that, has t 0 and p 1; nulls do not count.
+    """
+    counting = [F.max(sd_counting).alias("_counting")] if sd_counting else [F.lit(0.0).alias("_counting")]
+    g = df.groupBy(*key).agg(F.count(value).alias("n_values"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), *counting)
+    floor = F.lit(sd_floor) if isinstance(sd_floor, (int, float)) else sd_floor
+    g = g.withColumn("sd_used", F.when(F.col("n_values") > 1, F.greatest(F.col("sd"), floor, F.coalesce("_counting", F.lit(0.0))))).drop("_counting")
+    se = F.col("sd_used") / F.sqrt("n_values")
+    t = F.when(se > 0, F.col("mean") / se).otherwise(0.0)
+    out = g.withColumn("t", t).withColumn("df", F.greatest(F.col("n_values") - 1, F.lit(0)))
+    return out.withColumn("p", F.when(se > 0, student_p("t", F.col("df").cast("double"))).otherwise(1.0))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.operators.ordered import down, running
+from lodestar.session import cut
+
 BIN = 65536
 
 
@@ -30,7 +33,7 @@ def overlap_join(a: DataFrame, b: DataFrame, key: list[str], bin_size: int = BIN
         a, b = normalised(a), normalised(b, "start_b", "end_b")
         last_a, last_b = F.col("end") - 1, F.col("end_b") - 1
     if how in ("left", "semi", "anti"):
-        a = a.withColumn("_row", F.monotonically_increasing_id())
+        a = cut(a.withColumn("_row", F.monotonically_increasing_id()))  # the same numbers in both branches below
     left = _bins(a, "start", last_a, bin_size).withColumnRenamed("_first", "_first_a")
     right = _bins(b, "start_b", last_b, bin_size).withColumnRenamed("_first", "_first_b")
     meets = (F.col("start") <= F.col("end_b")) & (F.col("end") >= F.col("start_b")) if closed else (F.col("start") < F.col("end_b")) & (F.col("end") > F.col("start_b"))
@@ -55,23 +58,25 @@ def count_overlaps(q: DataFrame, t: DataFrame, key: list[str]) -> DataFrame:
         t.select(*key, F.col("start").alias("pos"), F.lit(1).alias("ord"), F.lit(1).alias("opened"), F.lit(0).alias("closed"), F.lit(None).cast("struct<id:bigint,side:int>").alias("ask")),
         t.select(*key, F.col("end").alias("pos"), F.lit(0).alias("ord"), F.lit(0).alias("opened"), F.lit(1).alias("closed"), F.lit(None).cast("struct<id:bigint,side:int>").alias("ask")),
     ]
-    q = q.withColumn("_id", F.monotonically_increasing_id())
+    q = cut(q.withColumn("_id", F.monotonically_increasing_id()))  # the same numbers in both branches below
     # at equal positions: closed ends count for a query start, starts do not count for a query end
     points.append(q.select(*key, F.col("end").alias("pos"), F.lit(0).alias("ord"), F.lit(0).alias("opened"), F.lit(0).alias("closed"), F.struct(F.col("_id").alias("id"), F.lit(1).alias("side")).alias("ask")))
     points.append(q.select(*key, F.col("start").alias("pos"), F.lit(2).alias("ord"), F.lit(0).alias("opened"), F.lit(0).alias("closed"), F.struct(F.col("_id").alias("id"), F.lit(0).alias("side")).alias("ask")))
     every = points[0].unionByName(points[1]).unionByName(points[2]).unionByName(points[3])
-    w = Window.partitionBy(*key).orderBy("pos", "ord").rowsBetween(Window.unboundedPreceding, 0)
-    run = every.withColumn("n_open", F.sum("opened").over(w)).withColumn("n_closed", F.sum("closed").over(w)).where("ask IS NOT NULL")
+    run = running(every, key, [F.col("pos"), F.col("ord")], {"n_open": ("sum", F.col("opened")), "n_closed": ("sum", F.col("closed"))}).where("ask IS NOT NULL")
     sums = run.groupBy(F.col("ask.id").alias("_id")).agg(F.sum(F.when(F.col("ask.side") == 1, F.col("n_open")).otherwise(-F.col("n_closed"))).alias("n_overlaps"))
     return q.join(sums, "_id").drop("_id")
 
 
 def islands(df: DataFrame, key: list[str], gap: int = 0, start: str = "start", end: str = "end") -> DataFrame:
-    """df with island: a new one begins where start > gap + the largest end before, within the key (book-ended rows merge)."""
-    w = Window.partitionBy(*key).orderBy(start, end)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opened = df.withColumn("_new", F.when(before.isNull() | (F.col(start) - before > gap), 1).otherwise(0))
-    return opened.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    """df with island: a new one begins where start > gap + the largest end before, within the key (book-ended rows merge).
+
+    Rows are dealt by ranges of the key and their place, so that a key's rows need not fit one task.
+    """
+    order = [F.col(start), F.col(end)]
+    reach = running(df, key, order, {"_before": ("max", F.col(end))}, before=True)
+    opened = reach.withColumn("_new", F.when(F.col("_before").isNull() | (F.col(start) - F.col("_before") > gap), 1).otherwise(0)).drop("_before")
+    return running(opened, key, order, {"island": ("sum", F.col("_new"))}).drop("_new")
 
 
 def merge_intervals(df: DataFrame, key: list[str], gap: int = 0, aggs: dict[str, Column] | None = None) -> DataFrame:
@@ -88,17 +93,16 @@ def covered_bases(df: DataFrame, key: list[str]) -> DataFrame:
 def nearest(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     """For each point a.(id, pos) the distance to the nearest interval of b.(start, end) before, at or after it.
 
-    Distance 0 inside an interval, null where the key has none. One window over the union of both sides.
+    Distance 0 inside an interval, else the gap between the point's base and the interval (0 if they touch on the left),
+    null where the key has none. Two running extremes over the union of both sides.
     """
     pts = a.select(*key, F.col("pos").alias("at"), F.lit(1).alias("ord"), F.col("id"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))
     ivs = b.select(*key, F.col("start").cast("long").alias("at"), F.lit(0).alias("ord"), F.lit(None).cast("long").alias("id"), F.col("start").cast("long"), F.col("end").cast("long"))
-    w = Window.partitionBy(*key).orderBy("at", "ord")
-    every = pts.unionByName(ivs)
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    following = F.min("start").over(w.rowsBetween(1, Window.unboundedFollowing))
-    found = every.withColumn("reach", reach).withColumn("following", following).where("id IS NOT NULL")
-    back = F.when(F.col("reach") > F.col("at"), 0).otherwise(F.col("at") - F.col("reach") + 1)
-    return found.select(*key, "id", F.col("at").alias("pos"), F.least(back, F.col("following") - F.col("at")).cast("long").alias("distance"))
+    every = running(pts.unionByName(ivs), key, [F.col("at"), F.col("ord")], {"reach": ("max", F.col("end"))})
+    found = running(every, key, [down("at"), down("ord")], {"following": ("min", F.col("start"))}).where("id IS NOT NULL")
+    back = F.when(F.col("reach") > F.col("at"), 0).otherwise(F.col("at") - F.col("reach"))
+    ahead = F.when(F.col("following").isNotNull(), F.greatest(F.col("following") - F.col("at") - 1, F.lit(0)))
+    return found.select(*key, "id", F.col("at").alias("pos"), F.least(back, ahead).cast("long").alias("distance"))
 
 
 def distance_pairs(a: DataFrame, b: DataFrame, key: list[str], window: int) -> DataFrame:

@@ -125,10 +125,6 @@ SELECT n.guide, n.cond, rep, round(rpm, 4) AS rpm FROM n JOIN m ON n.guide = m.g
 
 portable("sample_qc_table", "SELECT l_returnflag AS sample, count(*) AS guides, round(sum(l_quantity), 2) AS total, count_if(l_discount = 0) AS zeros, round(PCT(l_quantity, 0.1), 4) AS p10, round(PCT(l_quantity, 0.9), 4) AS p90 FROM lineitem GROUP BY l_returnflag")
 
-portable("na_poison_agg", """
-WITH x AS (SELECT event_type, user_id, CASE WHEN value > 300 THEN NULL ELSE value END AS v FROM events)
-SELECT user_id, CASE WHEN count(*) = count(v) THEN max(v) END AS top, CASE WHEN count(*) = count(v) THEN round(sum(v), 4) END AS total FROM x GROUP BY user_id""")
-
 portable("joint_qc_labels", """
 WITH a AS (SELECT user_id AS cell, count(*) AS umis FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id),
 b AS (SELECT o_custkey AS cell, count(*) AS frags FROM orders GROUP BY o_custkey)
@@ -167,11 +163,6 @@ portable("evidence_rank", """
 SELECT l_partkey AS variant, count(DISTINCT CASE WHEN l_linestatus = 'F' THEN l_returnflag || CAST(l_linenumber AS VARCHAR(2)) END) AS n_assays, count(*) AS n_edges, JOINED(l_returnflag) AS kinds
 FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_returnflag) >= 2""")
 
-portable("support_score", """
-WITH c AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT'), l AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '2-HIGH'), p AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '5-LOW'),
-u AS (SELECT k FROM c UNION SELECT k FROM p)
-SELECT u.k AS target, 3 * count(c.k) + 2 * count(l.k) + count(p.k) AS support FROM u LEFT JOIN c ON u.k = c.k LEFT JOIN l ON u.k = l.k LEFT JOIN p ON u.k = p.k GROUP BY u.k""")
-
 portable("trait_enrichment_ratio", """
 WITH tot AS (SELECT count(*) AS total, count_if(l_quantity > 40) AS hits FROM lineitem),
 t AS (SELECT l_suppkey AS trait, count(*) AS cat, count_if(l_quantity > 40) AS obs FROM lineitem GROUP BY l_suppkey HAVING count_if(l_quantity > 40) >= 3)
@@ -188,11 +179,6 @@ WITH d AS (SELECT avg(l_quantity) AS mean_dna FROM lineitem),
 r AS (SELECT l_partkey AS v, l_returnflag AS rep, log2((sum(CASE WHEN l_linestatus = 'O' THEN l_extendedprice ELSE 0 END) + 1) / (max(mean_dna) + 1)) - log2((sum(CASE WHEN l_linestatus = 'F' THEN l_extendedprice ELSE 0 END) + 1) / (max(mean_dna) + 1)) AS skew FROM lineitem CROSS JOIN d GROUP BY l_partkey, l_returnflag)
 SELECT v, count(*) AS n, round(avg(skew), 6) AS skew, round(stddev_samp(skew) / sqrt(count(*)), 6) AS se FROM r GROUP BY v HAVING count(*) >= 2""")
 
-portable("one_way_anova", """
-WITH g AS (SELECT l_shipmode_like AS k, count(*) AS n, avg(x) AS m, sum(x * x) - count(*) * avg(x) * avg(x) AS ssw FROM (SELECT l_linenumber AS l_shipmode_like, l_quantity AS x FROM lineitem) GROUP BY l_shipmode_like),
-t AS (SELECT sum(n * m) / sum(n) AS gm, sum(n) AS total, count(*) AS k FROM g)
-SELECT max(k) AS groups, CAST(max(total) AS BIGINT) AS n, round((sum(g.n * (g.m - gm) * (g.m - gm)) / (max(t.k) - 1)) / (sum(ssw) / (max(total) - max(t.k))), 4) AS f FROM (SELECT n, m, ssw FROM g) g CROSS JOIN t""")
-
 portable("knockdown_metrics", """
 WITH x AS (SELECT l_returnflag AS batch, log2(l_quantity / 25) AS lfc, l_tax AS p FROM lineitem)
 SELECT batch, count(*) AS n, round(avg(CAST(lfc <= log2(0.6e0) AS INT)), 6) AS strong, round(avg(CAST(p < 0.02e0 AS INT)), 6) AS significant, round(avg(CAST(lfc <= log2(0.6e0) AND p < 0.02e0 AS INT)), 6) AS both_pass FROM x GROUP BY batch""")
@@ -208,10 +194,6 @@ WITH c AS (SELECT l_orderkey AS cell, l_suppkey AS guide, sum(l_quantity) AS umi
 s AS (SELECT *, sum(umi) OVER (PARTITION BY cell) AS total, row_number() OVER (PARTITION BY cell ORDER BY umi DESC, guide) AS rn FROM c)
 SELECT cell, guide, umi FROM s WHERE rn = 1 AND total >= 20 AND umi / total >= 0.5e0""")
 
-portable("gini_lorenz", """
-WITH v AS (SELECT c_acctbal + 1000 AS v, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS r, count(*) OVER () AS n FROM customer WHERE c_acctbal IS NOT NULL)
-SELECT max(n) AS n, round(2 * sum(r * v) / (max(n) * sum(v)) - (max(n) + 1) / max(n), 6) AS gini FROM v""")
-
 portable("per_gene_stats", "SELECT o_custkey AS gene, count(*) AS n_enh, round(avg(o_totalprice), 4) AS mean_score, round(max(o_totalprice), 2) AS top FROM orders WHERE o_totalprice > 50000 GROUP BY o_custkey")
 
 portable("average_contacts", "SELECT LEAST(l_partkey, l_suppkey) AS bin_x, GREATEST(l_partkey, l_suppkey) AS bin_y, count(*) AS n, round(sum(l_quantity) / count(*), 4) AS contact FROM lineitem GROUP BY LEAST(l_partkey, l_suppkey), GREATEST(l_partkey, l_suppkey) HAVING count(*) >= 2")

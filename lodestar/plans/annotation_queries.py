@@ -88,24 +88,6 @@ def merge_gene_sets_components(spark, sf_dir):
     return graph.connected_components(pairs.where("shared >= 0.1D * least(na, nb)").select("a", "b"))
 
 
-portable("hgvs_protein_parse", """
-WITH x AS (SELECT p_partkey, concat('p.', CASE p_size % 3 WHEN 0 THEN 'Ala' WHEN 1 THEN 'Gly' ELSE 'Trp' END, p_size, CASE p_size % 4 WHEN 0 THEN 'Ter' WHEN 1 THEN 'Ser' WHEN 2 THEN '=' ELSE 'Val' END) AS h FROM part)
-SELECT p_partkey, regexp_extract(h, '^p[.]([A-Z][a-z][a-z])([0-9]+)', 1) AS wt, CAST(regexp_extract(h, '^p[.]([A-Z][a-z][a-z])([0-9]+)', 2) AS BIGINT) AS pos,
-       CASE WHEN h LIKE '%Ter' THEN 'nonsense' WHEN h LIKE '%=' THEN 'synonymous' ELSE 'missense' END AS kind FROM x""")
-
-portable("variant_notation_parse", """
-WITH x AS (SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN concat('chr', o_custkey % 22 + 1, '-', o_orderkey, '-A-G') WHEN 1 THEN concat('NC_00000', o_custkey % 9 + 1, '.11:', o_orderkey, ':C:T') ELSE concat('rs', o_orderkey) END AS v FROM orders)
-SELECT k, CASE WHEN MATCHES(v, '^rs') THEN 'rsid' WHEN MATCHES(v, '^NC_') THEN 'spdi' ELSE 'token' END AS notation,
-       CASE WHEN MATCHES(v, '^NC_') THEN CAST(split_part(v, ':', 2) AS BIGINT) + 1 WHEN MATCHES(v, '^chr') THEN CAST(split_part(v, '-', 2) AS BIGINT) END AS pos FROM x""")
-
-portable("alternate_sequence", "SELECT p_partkey, concat(substring(p_name, 1, p_size % 5), 'ALT', substring(p_name, p_size % 5 + 2, 100)) AS alt_seq, length(p_name) + 2 AS n FROM part WHERE length(p_name) > 5")
-
-portable("ld_bins", "SELECT CASE WHEN l_discount >= 0.08e0 THEN 'high' WHEN l_discount >= 0.04e0 THEN 'mid' ELSE 'low' END AS r2_bin, l_returnflag AS ancestry, count(*) AS n, count(DISTINCT l_partkey) AS variants FROM lineitem GROUP BY 1, 2")
-
-portable("evidence_pack", """
-SELECT 'orders' AS relation, c_nationkey AS gene, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_nationkey
-UNION ALL SELECT 'suppliers', s_nationkey, count(*) FROM supplier JOIN lineitem ON s_suppkey = l_suppkey GROUP BY s_nationkey""")
-
 portable("method_results_inner", """
 WITH a AS (SELECT l_partkey AS gene, l_suppkey AS guide, avg(l_tax) AS p_a FROM lineitem WHERE l_linestatus = 'F' GROUP BY l_partkey, l_suppkey), b AS (SELECT l_partkey AS gene, l_suppkey AS guide, avg(l_tax) AS p_b FROM lineitem WHERE l_linestatus = 'O' GROUP BY l_partkey, l_suppkey)
 SELECT a.gene, a.guide, round(p_a, 8) AS p_a, round(p_b, 8) AS p_b FROM a JOIN b ON a.gene = b.gene AND a.guide = b.guide""")
@@ -114,18 +96,10 @@ portable("requested_pairs_right_join", """
 WITH r AS (SELECT DISTINCT l_suppkey AS g, l_linenumber AS j FROM lineitem WHERE l_returnflag = 'A'), t AS (SELECT l_suppkey AS g, l_linenumber AS j, round(avg(l_quantity), 6) AS lfc FROM lineitem WHERE l_quantity > 30 GROUP BY l_suppkey, l_linenumber)
 SELECT r.g, r.j, lfc FROM t RIGHT JOIN r ON t.g = r.g AND t.j = r.j""")
 
-portable("count_table_outer_bins", """
-SELECT l_partkey AS oligo, count_if(l_linenumber = 1) AS bin_a, count_if(l_linenumber = 2) AS bin_b, count_if(l_linenumber = 3) AS bin_c, count_if(l_linenumber >= 4) AS bin_d FROM lineitem GROUP BY l_partkey""")
-
 portable("concordance_sign", """
 WITH a AS (SELECT l_partkey AS v, avg(l_discount) - 0.05e0 AS x FROM lineitem GROUP BY l_partkey), b AS (SELECT l_partkey AS v, avg(l_tax) - 0.04e0 AS y FROM lineitem GROUP BY l_partkey)
 SELECT count(*) AS n, round(corr(x, y), 6) AS r, count_if(sign(x) = sign(y)) AS agree FROM a JOIN b ON a.v = b.v""")
 
-portable("spearman_correlation", """
-WITH a AS (SELECT o_custkey AS k, count(*) AS x, sum(o_totalprice) AS y FROM orders GROUP BY o_custkey),
-r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0e0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0e0 AS ry FROM a)
-SELECT count(*) AS n, round(corr(rx, ry), 6) AS rho FROM r""")
-
 portable("tf_idf_weights", """
 WITH c AS (SELECT l_suppkey AS cell, l_partkey AS peak, count(*) AS x FROM lineitem GROUP BY l_suppkey, l_partkey), s AS (SELECT cell, sum(x) AS total FROM c GROUP BY cell), d AS (SELECT peak, count(*) AS df FROM c GROUP BY peak), n AS (SELECT count(DISTINCT cell) AS n FROM c)
 SELECT c.cell, c.peak, round(ln(1 + x / total * ln(1 + n / df) * 1e4), 6) AS w FROM c JOIN s ON c.cell = s.cell JOIN d ON c.peak = d.peak CROSS JOIN n""")
@@ -157,6 +131,3 @@ SELECT guide, count(*) AS tests, count_if(q < 0.05e0) AS significant FROM r GROU
 
 portable("metadata_qc_audit", "SELECT 'orders' AS item, count_if(o_orderpriority IS NULL) AS missing, count(*) - count(DISTINCT o_orderkey) AS repeated, count_if(o_totalprice <= 0) AS invalid FROM orders UNION ALL SELECT 'customer', count_if(c_mktsegment IS NULL), count(*) - count(DISTINCT c_custkey), count_if(c_acctbal < -999) FROM customer")
 
-portable("graph_validate", """
-WITH e AS (SELECT l_orderkey AS src, l_partkey + 0 AS dst FROM lineitem), ok AS (SELECT count(*) AS kept FROM e JOIN orders ON src = o_orderkey JOIN part ON dst = p_partkey), rin AS (SELECT count(*) AS rows_in FROM e)
-SELECT rows_in, kept, rows_in - kept AS rejects, kept + (rows_in - kept) = rows_in AS balanced FROM ok CROSS JOIN rin""")

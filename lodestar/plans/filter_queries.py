@@ -42,24 +42,14 @@ portable("typed_props", "SELECT event_id, KJSON(props) AS k, event_type, CASE WH
 
 portable("digest_ids", "SELECT o_orderkey, substring(SHA(k), 1, 16) AS edge_id FROM (SELECT o_orderkey, concat_ws('|', CAST(o_orderkey AS VARCHAR(20)), CAST(o_custkey AS VARCHAR(20)), o_orderstatus, 'orders') AS k FROM orders)")
 
-portable("curie_prefix", "SELECT p_partkey, CASE WHEN p_brand LIKE 'Brand#1%' THEN concat('ONE:', p_partkey) WHEN p_brand LIKE 'Brand#2%' THEN concat('TWO:', p_partkey) ELSE concat(upper(substring(p_type, 1, 3)), ':', p_partkey) END AS curie FROM part")
-
 portable("key_of_reference", "SELECT event_id, split_part(concat('events/', event_type, '/', CAST(event_id AS VARCHAR(20))), '/', 3) AS ref_key FROM events")
 
-portable("warehouse_row_counts", "SELECT 'orders' AS table_name, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'supplier', count(*) FROM supplier")
-
-portable("ingest_routing", "SELECT CASE WHEN event_type IN ('click', 'view') THEN 'genes' WHEN event_type = 'purchase' THEN 'variants' ELSE 'datasets' END AS entity, count(*) AS n, count(DISTINCT user_id) AS ids FROM events GROUP BY 1")
-
 portable("incremental_ledger", """
 WITH ledger AS (SELECT DISTINCT o_custkey AS shard FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01 00:00:00')
 SELECT o_custkey AS shard, count(*) AS fresh FROM orders LEFT JOIN ledger ON o_custkey = shard WHERE shard IS NULL GROUP BY o_custkey""")
 
 portable("validate_ranges", "SELECT count_if(NOT (l_discount BETWEEN 0 AND 0.1e0)) AS bad_discount, count_if(l_quantity < 1 OR l_quantity > 50) AS bad_quantity, count_if(l_returnflag NOT IN ('A', 'N', 'R')) AS bad_flag, count(*) AS n FROM lineitem")
 
-portable("route_queries", "SELECT p_partkey, CASE WHEN p_type LIKE 'STANDARD%' THEN 'accession' WHEN p_name LIKE 'red%' THEN 'region' ELSE 'gene' END AS route FROM part")
-
-portable("logistic_link_score", "SELECT l_orderkey, l_linenumber, l_partkey, round(1 / (1 + exp(-(ln(abs(l_discount) + 0.01e0) * 0.5e0 + ln(l_quantity + 0.01e0) * 0.3e0 - 0.7e0))), 8) AS score FROM lineitem")
-
 portable("activity_geometric_mean", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_tax > 0 THEN round(sqrt(l_tax * l_quantity), 8) ELSE l_quantity END AS activity FROM lineitem")
 
 
@@ -131,8 +121,7 @@ p AS (SELECT term, id, count(*) AS tf FROM w GROUP BY term, id), s AS (SELECT id
 h AS (SELECT * FROM p WHERE term IN ('the', 'from')), d AS (SELECT term, count(*) AS df FROM h GROUP BY term), g AS (SELECT id FROM h GROUP BY id HAVING count(*) = 2)
 SELECT h.id, round(sum(ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl))), 6) AS score FROM h JOIN g ON h.id = g.id JOIN d ON h.term = d.term JOIN s ON h.id = s.id CROSS JOIN t GROUP BY h.id""")
 def bm25_search(spark, sf_dir):
-    index = search.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return search.bm25(index, ["the", "from"]).select("id", F.round("score", 6).alias("score"))
+    return search.search(table(spark, sf_dir, "documents"), "doc_id", "text", ["the", "from"]).select("id", F.round("score", 6).alias("score"))
 
 
 @query("cosine_top_k", """

@@ -9,15 +9,6 @@ from lodestar.plans.portable import portable
 from lodestar.plans.registry import query
 from lodestar.session import table
 
-portable("referential_split", """
-WITH e AS (SELECT l_orderkey, l_partkey * 3 AS p, l_suppkey * 2 AS s FROM lineitem),
-r AS (SELECT e.*, CASE WHEN part.p_partkey IS NULL THEN 'dangling part' WHEN supplier.s_suppkey IS NULL THEN 'dangling supplier' ELSE 'kept' END AS reason FROM e LEFT JOIN part ON e.p = part.p_partkey LEFT JOIN supplier ON e.s = supplier.s_suppkey)
-SELECT reason, count(*) AS n FROM r GROUP BY reason""")
-
-portable("missing_stub_nodes", "WITH ids AS (SELECT DISTINCT l_partkey + 1000 AS id FROM lineitem UNION SELECT DISTINCT l_suppkey FROM lineitem) SELECT id, true AS stub FROM ids LEFT ANTI JOIN part ON id = p_partkey".replace("LEFT ANTI JOIN part ON id = p_partkey", "LEFT JOIN part ON id = p_partkey WHERE p_partkey IS NULL"))
-
-portable("upsert_fold", "SELECT user_id, event_type, count(*) AS observations, max_by(event_id, ts) AS last_id, KJSON(max_by(props, ts)) AS last_k FROM events GROUP BY user_id, event_type".replace("KJSON(max_by(props, ts))", "max_by(KJSON(props), ts)"))
-
 portable("upsert_merge_keys", """
 WITH base AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey), new AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey)
 SELECT coalesce(new.k, base.k) AS k, coalesce(new.v, base.v) AS v, CASE WHEN base.k IS NULL THEN 'insert' WHEN new.k IS NULL THEN 'keep' ELSE 'update' END AS action FROM base FULL OUTER JOIN new ON base.k = new.k""")
@@ -31,34 +22,6 @@ portable("degree_histogram", "SELECT degree, count(*) AS nodes FROM (SELECT l_pa
 portable("k_hop_1", "SELECT c_custkey, count(DISTINCT o_orderkey) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
 portable("k_hop_2", "SELECT c_nationkey, count(DISTINCT l_partkey) AS n FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey GROUP BY c_nationkey")
 portable("k_hop_3", "SELECT r_name, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT o_custkey) AS customers FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey GROUP BY r_name")
-portable("undirected_2hop", """
-WITH e AS (SELECT DISTINCT o_custkey AS a, o_orderkey % 900 + 100000 AS b FROM orders WHERE o_totalprice > 400000), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e)
-SELECT x.a AS node, count(DISTINCT y.b) AS two_hop FROM u x JOIN u y ON x.b = y.a WHERE y.b <> x.a GROUP BY x.a""")
-
-EDGES = "SELECT DISTINCT o_custkey AS a, o_orderkey % 900 + 100000 AS b FROM orders WHERE o_totalprice > 420000"
-
-
-def edge_table(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where("o_totalprice > 420000").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 900 + 100000).alias("b")).distinct()
-
-
-@query("connected_components", f"""
-WITH RECURSIVE e AS MATERIALIZED ({EDGES}), u AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT a AS node, a AS root FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.root = u.a)
-SELECT node, min(root) AS component FROM r GROUP BY node""")
-def connected_components(spark, sf_dir):
-    return graph.connected_components(edge_table(spark, sf_dir))
-
-
-@query("bfs_depth_3", f"""
-WITH RECURSIVE e AS MATERIALIZED ({EDGES}), u AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e), s AS (SELECT min(a) AS node FROM e),
-r AS (SELECT node, 0 AS depth FROM s UNION SELECT u.b, r.depth + 1 FROM r JOIN u ON r.node = u.a WHERE r.depth < 3)
-SELECT node, min(depth) AS depth FROM r GROUP BY node""")
-def bfs_depth_3(spark, sf_dir):
-    e = edge_table(spark, sf_dir)
-    return graph.breadth_first(e, e.agg(F.min("a").alias("node")), 3)
-
-
 #: Every order is a link; 900 of the nodes are hubs.
 ALL_EDGES = "SELECT DISTINCT o_custkey AS a, o_orderkey % 900 + 100000 AS b FROM orders"
 
@@ -86,15 +49,6 @@ def bfs_depth_3_all(spark, sf_dir):
     return graph.breadth_first(e, e.agg(F.min("a").alias("node")), 3)
 
 
-portable("identity_resolution", """
-WITH alias AS (SELECT upper(trim(n_name)) AS alias, n_nationkey AS gene FROM nation UNION ALL SELECT upper(trim(c_mktsegment)), c_nationkey FROM customer),
-d AS (SELECT alias, count(DISTINCT gene) AS genes, min(gene) AS gene FROM alias GROUP BY alias)
-SELECT alias, gene, CAST(genes > 1 AS INT) AS ambiguous FROM d""")
-
-portable("ppi_merge_resolved", """
-WITH pairs AS (SELECT l_suppkey AS a, l_partkey % 120 AS b FROM lineitem), r AS (SELECT x.s_suppkey AS a, y.s_suppkey AS b FROM pairs JOIN supplier x ON pairs.a = x.s_suppkey JOIN supplier y ON pairs.b = y.s_suppkey)
-SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM r WHERE a <> b""")
-
 portable("candidate_pairs_hubs", """
 WITH m AS (SELECT DISTINCT l_suppkey AS pathway, l_partkey AS gene FROM lineitem), hub AS (SELECT gene FROM m GROUP BY gene HAVING count(*) > 25),
 k AS (SELECT m.* FROM m LEFT JOIN hub ON m.gene = hub.gene WHERE hub.gene IS NULL)

@@ -106,7 +106,7 @@ def interval_stitch_gap(spark, sf_dir):
     return ranges.merge_intervals(ranges.normalised(spans(spark, sf_dir)), ["user_id"], 12500, {"score_sum": F.round(F.sum("score"), 4), "n_peaks": F.count(F.lit(1))})
 
 
-@query("nearest_interval", f"WITH b AS ({WINDOWS}), a AS (SELECT event_id AS id, event_type AS chr, CAST(floor(epoch(ts)) AS BIGINT) AS p FROM events) SELECT a.id, min(CASE WHEN b.s <= a.p AND b.e > a.p THEN 0 WHEN b.e <= a.p THEN a.p - b.e + 1 ELSE b.s - a.p END) AS distance FROM a LEFT JOIN b ON a.chr = b.chr GROUP BY a.id")
+@query("nearest_interval", f"WITH b AS ({WINDOWS}), a AS (SELECT event_id AS id, event_type AS chr, CAST(floor(epoch(ts)) AS BIGINT) AS p FROM events) SELECT a.id, min(CASE WHEN b.s <= a.p AND b.e > a.p THEN 0 WHEN b.e <= a.p THEN a.p - b.e ELSE b.s - a.p - 1 END) AS distance FROM a LEFT JOIN b ON a.chr = b.chr GROUP BY a.id")
 def nearest_interval(spark, sf_dir):
     points = spans(spark, sf_dir).select("id", "chr", F.col("start").alias("pos"))
     b = windows(spark, sf_dir).select("chr", F.col("start_b").alias("start"), F.col("end_b").alias("end"))

@@ -45,30 +45,11 @@ r AS (SELECT event_id, (rank() OVER (PARTITION BY event_type ORDER BY value) + (
 e AS (SELECT max(p05) AS lo, max(p95) AS hi FROM ref)
 SELECT event_id, round(greatest(0.0e0, lo + (hi - lo) * q), 6) AS value_norm FROM r CROSS JOIN e""")
 
-portable("ranksum_u_stat", """
-WITH r AS (SELECT event_type = 'view' AS grp, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0e0 AS r FROM (SELECT event_type, floor(value) AS value FROM events)),
-s AS (SELECT count_if(grp) AS n1, count_if(NOT grp) AS n2, sum(CASE WHEN grp THEN r ELSE 0 END) AS r1 FROM r)
-SELECT n1, n2, r1 - n1 * (n1 + 1) / 2 AS u, round((r1 - n1 * (n1 + 1) / 2) / n1 / n2, 8) AS auc FROM s""")
-
 portable("rank_genes_per_group", """
 WITH t AS (SELECT o_custkey AS cell, l_linenumber AS gene, sum(l_quantity) AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_linenumber),
 g AS (SELECT cell, gene, log2(x + 1) AS v, c_mktsegment = 'BUILDING' AS inside FROM t JOIN customer ON cell = c_custkey)
 SELECT gene, count_if(inside) AS n_in, count_if(NOT inside) AS n_out, round(log2((exp(avg(CASE WHEN inside THEN v END)) - 1 + 1e-9) / (exp(avg(CASE WHEN NOT inside THEN v END)) - 1 + 1e-9)), 6) AS log2fc FROM g GROUP BY gene HAVING count_if(inside) >= 3 AND count_if(NOT inside) >= 3""")
 
-portable("average_precision", """
-WITH s AS (SELECT o_orderkey, o_totalprice AS score, CAST(o_orderstatus = 'F' AS INT) AS y FROM orders),
-c AS (SELECT *, row_number() OVER (ORDER BY score DESC, o_orderkey) AS k, sum(y) OVER (ORDER BY score DESC, o_orderkey ROWS UNBOUNDED PRECEDING) AS tp, sum(y) OVER () AS pos FROM s)
-SELECT CAST(max(pos) AS BIGINT) AS positives, round(sum(CASE WHEN y = 1 THEN tp / k ELSE 0 END) / max(pos), 6) AS ap, round(max(CASE WHEN tp / pos >= 0.7e0 THEN tp / k END), 6) AS p_at_70 FROM c""")
-
-portable("auroc", """
-WITH r AS (SELECT o_orderstatus = 'F' AS y, rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0e0 AS r FROM orders)
-SELECT count_if(y) AS pos, count_if(NOT y) AS neg, round((sum(CASE WHEN y THEN r ELSE 0 END) - count_if(y) * (count_if(y) + 1) / 2) / (count_if(y) * count_if(NOT y)), 8) AS auc FROM r""")
-
-portable("precision_recall_curve", """
-WITH t AS (SELECT INTDIV(o_totalprice, 5000) AS score, count(*) AS n, count_if(o_orderstatus = 'F') AS pos FROM orders GROUP BY INTDIV(o_totalprice, 5000)),
-c AS (SELECT score, sum(n) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS k, sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tp, sum(pos) OVER () AS total FROM t)
-SELECT score AS threshold, round(tp / k, 8) AS precision_at, round(tp / total, 8) AS recall_at FROM c""")
-
 portable("topn_min_rank", "SELECT o_custkey, o_orderkey, r AS rank_no FROM (SELECT o_custkey, o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority DESC) AS r FROM orders) WHERE r <= 2")
 
 portable("stable_topn_row_number", "SELECT o_custkey, o_orderkey, rn FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_totalprice > 400000 THEN NULL ELSE o_totalprice END DESC NULLS LAST, o_orderkey) AS rn FROM orders) WHERE rn <= 3")
@@ -87,14 +68,6 @@ WITH o AS (SELECT *, min(SEC(ts)) OVER w AS lo, max(SEC(ts)) OVER w AS hi, count
   WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING))
 SELECT event_id, hi - lo AS span, round(mean, 6) AS mean, round(sd / sqrt(n), 6) AS sem FROM o WHERE n = 10 AND hi - lo <= 14400""")
 
-portable("inflection_point", """
-WITH r AS (SELECT o_orderkey, o_totalprice AS s, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS i, count(*) OVER () AS n, max(o_totalprice) OVER () AS top FROM orders)
-SELECT max_by(i, d) + 1 AS inflection, round(max(d), 8) AS distance FROM (SELECT i, s / top - i / greatest(n - 1, 1) AS d FROM r)""")
-
-portable("knee_rank_counts", """
-WITH c AS (SELECT o_custkey, count(*) AS umi FROM orders GROUP BY o_custkey), r AS (SELECT umi, row_number() OVER (ORDER BY umi DESC, o_custkey) AS r FROM c)
-SELECT umi, min(r) AS first_rank, max(r) AS last_rank FROM r GROUP BY umi""")
-
 portable("aucell_rank_area", """
 WITH x AS (SELECT o_custkey AS cell, l_suppkey AS gene, sum(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey),
 r AS (SELECT cell, gene, row_number() OVER (PARTITION BY cell ORDER BY v DESC, gene) - 1 AS r0 FROM x)
@@ -105,19 +78,11 @@ WITH o AS (SELECT event_id, event_type, SEC(ts) AS s, SEC(ts) + CAST(floor(value
 w AS (SELECT *, max(e) OVER (PARTITION BY event_type ORDER BY s, e DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o)
 SELECT event_id, s AS frag_start, e AS frag_end FROM w WHERE reach IS NULL OR e > reach""")
 
-portable("empirical_p", """
-WITH t AS (SELECT o_orderkey AS id, o_totalprice AS v, 1 AS test FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT o_orderkey, o_totalprice, 0 FROM orders WHERE o_orderstatus <> 'P'),
-c AS (SELECT id, test, sum(1 - test) OVER (ORDER BY v DESC RANGE UNBOUNDED PRECEDING) - sum(1 - test) OVER (PARTITION BY v) AS above, sum(1 - test) OVER () AS b FROM t)
-SELECT id, CAST(above AS BIGINT) AS r, round((above + 1) / (b + 1), 8) AS p FROM c WHERE test = 1""")
-
 portable("sessions_by_gap", """
 WITH g AS (SELECT *, CASE WHEN SEC(ts) - lag(SEC(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 7200 THEN 0 ELSE 1 END AS opened FROM events),
 s AS (SELECT *, sum(opened) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g)
 SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, session""")
 
-portable("custom_order_sort", """
-SELECT o_orderkey, row_number() OVER (ORDER BY ord, o_totalprice, o_orderkey) AS position FROM orders JOIN (SELECT '5-LOW' AS p, 0 AS ord UNION ALL SELECT '1-URGENT', 1 UNION ALL SELECT '3-MEDIUM', 2) m ON o_orderpriority = p""")
-
 portable("top_by_absolute_score", "SELECT l_orderkey, l_linenumber, l_partkey, round(dev, 4) AS dev FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice - 45000 AS dev, row_number() OVER (ORDER BY abs(l_extendedprice - 45000) DESC, l_orderkey, l_linenumber, l_partkey) AS rn FROM lineitem) WHERE rn <= 50")
 
 portable("page_of_results", "SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn > 200 AND rn <= 300")

@@ -27,3 +27,8 @@ def session_counts(events: DataFrame, time: str, key: str, gap: str = "30 minute
 def ingest_once(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Append all that is new to a Parquet table, exactly once, and stop."""
     return stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Append what the watermark has closed to a Parquet table, and stop when all files are read."""
+    return rows.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import dsl, sequences, stats
 from lodestar.operators import graph, models, ranges
-from lodestar.sources import readers, writers
+from lodestar.sources import mirror, readers, writers
 from lodestar.streaming import jobs
 
 
@@ -67,7 +67,7 @@ def test_dsl(spark):
     assert df.where(dsl.where_column("a>=5")).count() == 2 and df.where(dsl.where_column("a!=5")).count() == 1
     assert df.where(dsl.filter_column("a=5,7;p_value=lt:0.001")).count() == 1 and df.where(dsl.filter_column("a!=x")).count() == 2
     with pytest.raises(ValueError):
-        dsl.parse_where("a")
+        dsl.conditions("a")
 
 
 def test_bh_and_average_rank(spark):
@@ -105,7 +105,7 @@ def test_readers_and_writers(spark, tmp_path):
     assert sorted(tuple(r) for r in readers.read_gct(spark, str(tmp_path / "g.gct")).collect()) == [("E1", "G1", "Liver", 1.5), ("E1", "G1", "Lung", 2.0)]
     writers.write_table(spark.range(5).selectExpr("id", "id AS x"), str(tmp_path / "s1"))
     writers.write_table(spark.range(2).selectExpr("id", "'q' AS x", "1.5D AS y"), str(tmp_path / "s2"))
-    both = readers.union_shards(spark, [str(tmp_path / "s1"), str(tmp_path / "s2")])
+    both = mirror.union_shards(spark, [str(tmp_path / "s1"), str(tmp_path / "s2")])
     assert dict(both.dtypes) == {"id": "bigint", "x": "string", "y": "double"} and both.count() == 7
     assert writers.unseen(spark.range(5), spark.range(3), ["id"]).count() == 2
 
