@@ -65,12 +65,25 @@ def matcher(text: str):
     return LATIN_WORDS.findall
 
 
+def check_kind(spec: dict) -> None:
+    """An error for a file that asks for more than byte-level BPE by the published pattern, which would be encoded wrongly."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    wrong = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    wrong += [k for k in ("normalizer", "post_processor") if spec.get(k)]
+    wrong += [] if model.get("type", "BPE") == "BPE" else ["model"]
+    wrong += [] if pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) else ["pre_tokenizer"]
+    wrong += [f"added token {t['content']}" for t in spec.get("added_tokens", []) if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]
+    if wrong:
+        raise ValueError(f"not plain byte-level BPE: {', '.join(wrong)}")
+
+
 class ByteBpe:
     """Encoder and decoder of one vocabulary file in the public tokenizers JSON format."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_kind(spec)
         letters = byte_letters()
         vocabulary = spec["model"]["vocab"]
         self.added = sorted(((t["content"], t["id"]) for t in spec.get("added_tokens", [])), key=lambda x: -len(x[0]))
