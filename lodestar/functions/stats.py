@@ -2,26 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.operators.ordered import down, running
+
 
 def average_rank(df: DataFrame, by: list[str], value: str, name: str = "avg_rank", descending: bool = False) -> DataFrame:
-    """Average rank of ties: min rank + (ties - 1) / 2."""
-    order = F.col(value).desc() if descending else F.col(value)
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    ties = Window.partitionBy(*by, value)
-    return df.withColumn(name, F.rank().over(w.orderBy(order)) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
+    """Average rank of ties within the keys: the different values are counted and ranked, then met again by value.
+
+    A null is a value, the first in rising and the last in falling order.
+    """
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running(counts, by, [down(value) if descending else F.col(value)], {"_to": ("sum", F.col("_n"))})
+    keys = [*by, value]
+    side = ranked.select(*(F.col(f"`{c}`").alias(f"_k{k}") for k, c in enumerate(keys)), (F.col("_to") - (F.col("_n") - 1) / 2.0).alias(name))
+    on = reduce(lambda a, b: a & b, (F.col(f"`{c}`").eqNullSafe(F.col(f"_k{k}")) for k, c in enumerate(keys)))
+    return df.join(side, on).drop(*(f"_k{k}" for k in range(len(keys))))
 
 
 def benjamini_hochberg(df: DataFrame, by: list[str], p: str, tie: list[str], name: str = "q") -> DataFrame:
-    """Adjusted p: running minimum from the largest p of p * n / rank, at most 1. Null p stays null and is not counted."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    n = F.count(p).over(w)
-    asc = w.orderBy(F.col(p).asc_nulls_last(), *tie)
-    raw = df.withColumn("_raw", F.when(F.col(p).isNotNull(), F.col(p) * n / F.row_number().over(asc)))
-    back = w.orderBy(F.col(p).desc_nulls_first(), *(F.col(t).desc() for t in tie)).rowsBetween(Window.unboundedPreceding, 0)
-    return raw.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("_raw").over(back)))).drop("_raw")
+    """Adjusted p: running minimum from the largest p of p * n / rank, at most 1. Null p stays null and is not counted.
+
+    Two running passes over ranges of (keys, p), so that no key, and not the whole table, is one task's.
+    """
+    some, none = df.where(F.col(p).isNotNull()), df.where(F.col(p).isNull())
+    ranked = running(some, by, [F.col(p), *(F.col(t) for t in tie)], {"_rank": ("sum", F.lit(1).cast("long"))})
+    sizes = some.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    if by:
+        sizes = sizes.select(*(F.col(f"`{c}`").alias(f"_b{k}") for k, c in enumerate(by)), "_n")
+        on = reduce(lambda a, b: a & b, (F.col(f"`{c}`").eqNullSafe(F.col(f"_b{k}")) for k, c in enumerate(by)))
+        ranked = ranked.join(sizes, on).drop(*(f"_b{k}" for k in range(len(by))))
+    else:
+        ranked = ranked.crossJoin(F.broadcast(sizes))  # one row
+    back = running(ranked, by, [down(p), *(down(t) for t in tie)], {"_q": ("min", F.col(p) * F.col("_n") / F.col("_rank"))})
+    out = back.withColumn(name, F.least(F.lit(1.0), F.col("_q"))).drop("_rank", "_n", "_q")
+    return out.unionByName(none.withColumn(name, F.lit(None).cast("double")))
 
 
 def bonferroni(p: Column, n: Column) -> Column:

@@ -32,12 +32,6 @@ WITH cells AS (SELECT c_nationkey AS grp, count(*) AS n_cells FROM customer GROU
 g AS (SELECT c_nationkey AS grp, o_orderpriority AS gene, sum(o_totalprice) AS s FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey, o_orderpriority)
 SELECT g.grp, gene, round(s / n_cells, 4) AS mean FROM g JOIN cells ON g.grp = cells.grp""")
 
-portable("tau_specificity", """
-WITH groups AS (SELECT count(*) AS n FROM region),
-m AS (SELECT l_partkey AS gene, n_regionkey AS tissue, sum(l_quantity) AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY l_partkey, n_regionkey),
-t AS (SELECT gene, max(x) AS top, sum(x) AS total FROM m GROUP BY gene)
-SELECT gene, CASE WHEN top > 0 THEN round((n - total / top) / (n - 1), 6) END AS tau FROM t CROSS JOIN groups""")
-
 portable("merge_counts_cpm_ratio", """
 WITH once AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS seen FROM lineitem),
 kept AS (SELECT l_partkey AS oligo, l_quantity AS dna, l_extendedprice / 1000 AS rna FROM once WHERE seen = 1 AND l_quantity >= 2 AND l_extendedprice >= 1000),
@@ -125,21 +119,6 @@ SELECT n.guide, n.cond, rep, round(rpm, 4) AS rpm FROM n JOIN m ON n.guide = m.g
 
 portable("sample_qc_table", "SELECT l_returnflag AS sample, count(*) AS guides, round(sum(l_quantity), 2) AS total, count_if(l_discount = 0) AS zeros, round(PCT(l_quantity, 0.1), 4) AS p10, round(PCT(l_quantity, 0.9), 4) AS p90 FROM lineitem GROUP BY l_returnflag")
 
-portable("joint_qc_labels", """
-WITH a AS (SELECT user_id AS cell, count(*) AS umis FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id),
-b AS (SELECT o_custkey AS cell, count(*) AS frags FROM orders GROUP BY o_custkey)
-SELECT coalesce(a.cell, b.cell) AS cell, coalesce(umis, 0) AS umis, coalesce(frags, 0) AS frags,
-       CASE WHEN coalesce(umis, 0) >= 20 AND coalesce(frags, 0) >= 10 THEN 'both' WHEN coalesce(umis, 0) >= 20 THEN 'RNA only' WHEN coalesce(frags, 0) >= 10 THEN 'ATAC only' ELSE 'neither' END AS label
-FROM a FULL OUTER JOIN b ON a.cell = b.cell""")
-
-portable("threshold_report", """
-SELECT count(*) AS n, count_if(value >= 10 AND value < 100) AS passed, round(count_if(value >= 10 AND value < 100) / count(*), 6) AS fraction,
-       round(median(value), 4) AS median_before, round(median(value) FILTER (WHERE value >= 10 AND value < 100), 4) AS median_after FROM events""")
-
-portable("failure_total_alone", """
-WITH f AS (SELECT CAST(l_quantity < 5 AS INT) AS a, CAST(l_discount > 0.08e0 AS INT) AS b, CAST(l_tax > 0.07e0 AS INT) AS c FROM lineitem)
-SELECT sum(a) AS a_total, sum(b) AS b_total, sum(c) AS c_total, count_if(a = 1 AND a + b + c = 1) AS a_alone, count_if(b = 1 AND a + b + c = 1) AS b_alone, count_if(c = 1 AND a + b + c = 1) AS c_alone FROM f""")
-
 portable("explore_threshold_sets", """
 WITH sets AS (SELECT 'loose' AS name, 5 AS q, 0.09e0 AS d UNION ALL SELECT 'strict', 20, 0.05e0)
 SELECT name, l_returnflag, count_if(l_quantity >= q AND l_discount <= d) AS kept, count_if(NOT (l_quantity >= q AND l_discount <= d)) AS dropped FROM lineitem CROSS JOIN sets GROUP BY name, l_returnflag""")
@@ -189,11 +168,6 @@ portable("guides_per_cell", "SELECT round(avg(guides), 6) AS mean_guides, max(gu
 
 portable("genes_by_cell_fraction", "WITH c AS (SELECT count(DISTINCT l_orderkey) AS n FROM lineitem), g AS (SELECT l_suppkey AS gene, count(DISTINCT l_orderkey) AS cells FROM lineitem GROUP BY l_suppkey) SELECT gene, cells FROM g CROSS JOIN c WHERE cells > floor(n * 0.03e0)")
 
-portable("assign_maximum", """
-WITH c AS (SELECT l_orderkey AS cell, l_suppkey AS guide, sum(l_quantity) AS umi FROM lineitem GROUP BY l_orderkey, l_suppkey),
-s AS (SELECT *, sum(umi) OVER (PARTITION BY cell) AS total, row_number() OVER (PARTITION BY cell ORDER BY umi DESC, guide) AS rn FROM c)
-SELECT cell, guide, umi FROM s WHERE rn = 1 AND total >= 20 AND umi / total >= 0.5e0""")
-
 portable("per_gene_stats", "SELECT o_custkey AS gene, count(*) AS n_enh, round(avg(o_totalprice), 4) AS mean_score, round(max(o_totalprice), 2) AS top FROM orders WHERE o_totalprice > 50000 GROUP BY o_custkey")
 
 portable("average_contacts", "SELECT LEAST(l_partkey, l_suppkey) AS bin_x, GREATEST(l_partkey, l_suppkey) AS bin_y, count(*) AS n, round(sum(l_quantity) / count(*), 4) AS contact FROM lineitem GROUP BY LEAST(l_partkey, l_suppkey), GREATEST(l_partkey, l_suppkey) HAVING count(*) >= 2")
@@ -202,9 +176,6 @@ portable("bin_coverage_both_ends", "SELECT bin, count(*) AS n FROM (SELECT INTDI
 
 portable("pairs_qc", "SELECT count(*) AS n, count_if(l_partkey % 10 = l_suppkey % 10) AS cis, count_if(l_partkey % 10 <> l_suppkey % 10) AS trans, count_if(l_partkey % 10 = l_suppkey % 10 AND abs(l_partkey - l_suppkey) > 1000) AS long_range FROM lineitem")
 
-portable("fragment_ratios", """
-SELECT o_custkey AS cell, count(*) AS n, round(count_if(o_totalprice BETWEEN 147000 AND 294000) / greatest(count_if(o_totalprice < 147000), 1), 6) AS nucleosome, round(count_if(o_orderstatus = 'F') / count(*), 6) AS frip FROM orders GROUP BY o_custkey""")
-
 portable("facet_counts", "SELECT CASE WHEN GROUPING(o_orderstatus) = 0 THEN 'status' ELSE 'priority' END AS facet, coalesce(o_orderstatus, o_orderpriority) AS term, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority))")
 
 portable("fill_values", "SELECT round(avg(CASE WHEN l_tax > 0 THEN l_tax END), 8) AS tax_fill, round(avg(coalesce(nullif(l_discount, 0), 0.05e0)), 8) AS discount_filled FROM lineitem")

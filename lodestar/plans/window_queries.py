@@ -68,11 +68,6 @@ WITH o AS (SELECT *, min(SEC(ts)) OVER w AS lo, max(SEC(ts)) OVER w AS hi, count
   WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING))
 SELECT event_id, hi - lo AS span, round(mean, 6) AS mean, round(sd / sqrt(n), 6) AS sem FROM o WHERE n = 10 AND hi - lo <= 14400""")
 
-portable("aucell_rank_area", """
-WITH x AS (SELECT o_custkey AS cell, l_suppkey AS gene, sum(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey),
-r AS (SELECT cell, gene, row_number() OVER (PARTITION BY cell ORDER BY v DESC, gene) - 1 AS r0 FROM x)
-SELECT cell, round(sum(CASE WHEN gene % 7 = 0 AND r0 < 5 THEN 5 - r0 ELSE 0 END) / (5 * 3), 6) AS auc FROM r GROUP BY cell""")
-
 portable("resolve_fragments", """
 WITH o AS (SELECT event_id, event_type, SEC(ts) AS s, SEC(ts) + CAST(floor(value * 20) AS BIGINT) AS e FROM events),
 w AS (SELECT *, max(e) OVER (PARTITION BY event_type ORDER BY s, e DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o)
