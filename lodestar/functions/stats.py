@@ -43,21 +43,36 @@ def benjamini_hochberg(df: DataFrame, by: list[str], p: str, tie: list[str], nam
 
 
 def bonferroni(p: Column, n: Column) -> Column:
-    return F.least(F.lit(1.0), p * n)
+    """p times n, at most 1; null stays null."""
+    return F.when(p.isNotNull(), F.least(F.lit(1.0), p * n))
 
 
-def enrichment(x1: Column, n1: Column, x2: Column, n2: Column, z: float = 1.959963984540054) -> dict[str, Column]:
-    """Risk ratio with its confidence interval on the log scale."""
-    e = (x1 / n1) / (x2 / n2)
-    se = F.sqrt((n1 - x1) / (x1 * n1) + (n2 - x2) / (x2 * n2))
-    return {"enrichment": e, "ci_low": F.exp(F.log(e) - z * se), "ci_high": F.exp(F.log(e) + z * se)}
+def enrichment(x1: Column, n1: Column, x2: Column, n2: Column, z: float = 1.959963984540054, compat: bool = False) -> dict[str, Column]:
+    """Risk ratio, its standard error and its confidence interval on the log scale; null where they have no value.
+
+    No hit in the sample gives the ratio 0 and an interval from 0 to null, none in the background alone an infinite
+    ratio and an interval from null to infinity. compat adds the background's term outside of the root.
+    """
+    inf = F.lit(float("inf"))
+    a, b = F.try_divide(n1 - x1, x1 * n1), F.try_divide(n2 - x2, x2 * n2)
+    rows, none = (n1 > 0) & (n2 > 0), (x1 == 0) & (x2 == 0)
+    e = F.when(rows & ~none, F.when(x2 == 0, inf).otherwise(F.try_divide(F.try_divide(x1, n1), F.try_divide(x2, n2))))
+    se = F.when(rows, F.coalesce(F.sqrt(a) + b if compat else F.sqrt(a + b), inf))
+    low, high = F.exp(F.log(e) - z * se), F.exp(F.log(e) + z * se)
+    some = (x1 > 0) & (x2 > 0)
+    return {
+        "enrichment": e,
+        "se": se,
+        "ci_low": F.when(rows & some, low).when(rows & (x1 == 0) & (x2 > 0), 0.0),
+        "ci_high": F.when(rows & some, high).when(rows & (x2 == 0) & (x1 > 0), inf),
+    }
 
 
 def proportion(x: Column, n: Column, z: float = 1.959963984540054) -> dict[str, Column]:
-    """Raw share, adjusted standard error and its interval about the raw share."""
+    """Raw share, adjusted standard error and its interval about the raw share; of no rows, only the error has a value."""
     adj = (x + 2) / (n + 4)
-    se = F.sqrt(adj * (1 - adj) / (n + 4))
-    return {"share": x / n, "se": se, "ci_low": x / n - z * se, "ci_high": x / n + z * se}
+    se, share = F.sqrt(adj * (1 - adj) / (n + 4)), F.try_divide(x, n)
+    return {"share": share, "se": se, "ci_low": share - z * se, "ci_high": share + z * se}
 
 
 def welch_t(mean_a: Column, var_a: Column, n_a: Column, mean_b: Column, var_b: Column, n_b: Column) -> Column:

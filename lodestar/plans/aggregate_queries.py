@@ -4,160 +4,14 @@ from lodestar.plans.portable import portable
 
 Z = "1.959963984540054e0"
 
-portable("enrichment_ci", f"""
-WITH c AS (SELECT l_returnflag AS tissue, l_linestatus AS biosample, count(*) AS n1, count_if(l_discount > 0.05e0) AS x1 FROM lineitem GROUP BY l_returnflag, l_linestatus),
-b AS (SELECT count(*) AS n2, count_if(l_discount > 0.05e0) AS x2 FROM lineitem),
-e AS (SELECT c.*, b.*, (x1 / n1) / (x2 / n2) AS e, sqrt((n1 - x1) / (x1 * n1) + (n2 - x2) / (x2 * n2)) AS se FROM c CROSS JOIN b)
-SELECT tissue, biosample, n1, x1, round(e, 6) AS enrichment, round(exp(ln(e) - {Z} * se), 6) AS ci_low, round(exp(ln(e) + {Z} * se), 6) AS ci_high FROM e""")
-
-portable("grouped_enrichment_recall", """
-SELECT coalesce(l_returnflag, 'all') AS tissue, coalesce(l_linestatus, 'all') AS biosample, GROUPING(l_returnflag) + 2 * GROUPING(l_linestatus) AS level,
-       count(*) AS n, count_if(l_tax > 0.04e0) AS hits, round(count_if(l_tax > 0.04e0) / count(*), 6) AS recall
-FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), (l_linestatus), ())""")
-
-portable("precision_recall_ci", f"""
-WITH s AS (SELECT o_orderpriority AS method, count(*) AS n, count_if(o_orderstatus = 'F') AS x FROM orders GROUP BY o_orderpriority),
-a AS (SELECT *, (x + 2) / (n + 4) AS adj FROM s)
-SELECT method, n, x, round(x / n, 6) AS share, round(sqrt(adj * (1 - adj) / (n + 4)), 6) AS se,
-       round(x / n - {Z} * sqrt(adj * (1 - adj) / (n + 4)), 6) AS ci_low, round(x / n + {Z} * sqrt(adj * (1 - adj) / (n + 4)), 6) AS ci_high FROM a""")
-
-portable("overlap_counts_best_score", """
-WITH best AS (SELECT l_returnflag AS trait, l_partkey AS location, max(l_extendedprice) AS best FROM lineitem GROUP BY l_returnflag, l_partkey)
-SELECT trait, t.threshold, count(DISTINCT location) AS locations FROM best JOIN (SELECT 20000 AS threshold UNION ALL SELECT 60000 UNION ALL SELECT 90000) t ON best.best >= t.threshold GROUP BY trait, t.threshold""")
-
-portable("pseudobulk_sums", "SELECT c_nationkey AS k1, o_orderstatus AS k2, count(DISTINCT c_custkey) AS n_cells, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey, o_orderstatus")
-
-portable("mean_by_group_with_zeros", """
-WITH cells AS (SELECT c_nationkey AS grp, count(*) AS n_cells FROM customer GROUP BY c_nationkey),
-g AS (SELECT c_nationkey AS grp, o_orderpriority AS gene, sum(o_totalprice) AS s FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey, o_orderpriority)
-SELECT g.grp, gene, round(s / n_cells, 4) AS mean FROM g JOIN cells ON g.grp = cells.grp""")
-
-portable("merge_counts_cpm_ratio", """
-WITH once AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS seen FROM lineitem),
-kept AS (SELECT l_partkey AS oligo, l_quantity AS dna, l_extendedprice / 1000 AS rna FROM once WHERE seen = 1 AND l_quantity >= 2 AND l_extendedprice >= 1000),
-tot AS (SELECT sum(dna) AS dna_total, sum(rna) AS rna_total FROM kept),
-per AS (SELECT oligo, count(*) AS n_bc, sum(dna) AS dna, sum(rna) AS rna FROM kept GROUP BY oligo)
-SELECT oligo, n_bc, round(dna / n_bc / dna_total * 1e6, 4) AS dna_norm, round(rna / n_bc / rna_total * 1e6, 4) AS rna_norm,
-       round(log2((rna / n_bc / rna_total) / (dna / n_bc / dna_total)), 6) AS log2fc FROM per CROSS JOIN tot""")
-
-portable("drop_all_duplicates", "SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS seen FROM lineitem) WHERE seen = 1")
-
-portable("combine_replicates", """
-WITH r AS (SELECT l_partkey AS oligo, l_linestatus AS rep, sum(l_quantity) AS dna, sum(l_extendedprice) AS rna FROM lineitem GROUP BY l_partkey, l_linestatus),
-t AS (SELECT sum(dna) AS d, sum(rna) AS n FROM r)
-SELECT oligo, count(*) AS reps, round(log2((sum(rna) / max(t.n)) / (sum(dna) / max(t.d))), 6) AS pooled, round(avg(log2(rna / dna)), 6) AS averaged FROM r CROSS JOIN t GROUP BY oligo""")
-
-portable("master_table_threshold", """
-WITH r AS (SELECT l_partkey AS oligo, l_returnflag AS rep, count(*) AS n_bc, avg(l_tax) AS x FROM lineitem GROUP BY l_partkey, l_returnflag)
-SELECT rep, count(*) AS oligos, count_if(n_bc >= 10) AS kept, round(avg(n_bc), 6) AS mean_before, round(avg(CASE WHEN n_bc >= 10 THEN n_bc END), 6) AS mean_after FROM r GROUP BY rep""")
-
-portable("assignment_filter", """
-WITH c AS (SELECT l_suppkey AS bc, l_returnflag || l_linestatus AS oligo, count(*) AS n FROM lineitem GROUP BY l_suppkey, l_returnflag || l_linestatus),
-s AS (SELECT *, sum(n) OVER (PARTITION BY bc) AS total, row_number() OVER (PARTITION BY bc ORDER BY n DESC, oligo) AS rn FROM c)
-SELECT bc, oligo, concat(n, '/', CAST(total AS BIGINT)) AS support FROM s WHERE rn = 1 AND total >= 3 AND n >= 3 AND n / total >= 0.2e0""")
-
-portable("assignment_statistics", "SELECT n_bc, count(*) AS oligos FROM (SELECT l_partkey, count(DISTINCT l_suppkey) AS n_bc FROM lineitem GROUP BY l_partkey) GROUP BY n_bc")
-
-portable("lincoln_index", """
-WITH seen AS (SELECT DISTINCT o_custkey AS bc, o_orderpriority AS rep FROM orders WHERE o_totalprice > 0),
-n AS (SELECT rep, count(*) AS n FROM seen GROUP BY rep),
-s AS (SELECT a.rep AS a, b.rep AS b, count(*) AS shared FROM seen a JOIN seen b ON a.bc = b.bc AND a.rep < b.rep GROUP BY a.rep, b.rep)
-SELECT s.a AS rep_a, s.b AS rep_b, shared, round(x.n * y.n / shared, 4) AS lincoln FROM s JOIN n x ON s.a = x.rep JOIN n y ON s.b = y.rep""")
-
-portable("barcode_matrix_pivot", """
-SELECT l_suppkey, round(sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END), 2) AS dna_a, round(sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END), 2) AS dna_n,
-       round(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END), 2) AS dna_r FROM lineitem GROUP BY l_suppkey""")
-
 portable("crosstab_modalities", "SELECT event_type, count_if(user_id % 4 = 0) AS c0, count_if(user_id % 4 = 1) AS c1, count_if(user_id % 4 = 2) AS c2, count_if(user_id % 4 = 3) AS c3 FROM events GROUP BY event_type")
 
-portable("oligo_outliers_z", """
-SELECT l_orderkey, l_linenumber, l_partkey, round(z, 4) AS z FROM (
-  SELECT *, (l_extendedprice - avg(l_extendedprice) OVER (PARTITION BY l_partkey)) / coalesce(nullif(stddev_samp(l_extendedprice) OVER (PARTITION BY l_partkey), 0), 1) AS z FROM lineitem)
-WHERE abs(z) > 2""")
-
-portable("global_outliers_z", """
-WITH m AS (SELECT l_returnflag AS rep, avg(l_extendedprice) AS mu, stddev_samp(l_extendedprice) AS sd FROM lineitem GROUP BY l_returnflag)
-SELECT rep, count(*) AS n, count_if(abs(l_extendedprice - mu) / sd > 1.5e0) AS outliers FROM lineitem JOIN m ON l_returnflag = rep WHERE sd > 0 GROUP BY rep""")
-
-portable("mad_outliers", """
-WITH m AS (SELECT l_partkey, median(l_extendedprice) AS med FROM lineitem GROUP BY l_partkey),
-d AS (SELECT l_orderkey, l_linenumber, lineitem.l_partkey, l_extendedprice - med AS diff FROM lineitem JOIN m ON lineitem.l_partkey = m.l_partkey),
-w AS (SELECT l_partkey, median(abs(diff)) AS mad FROM d GROUP BY l_partkey)
-SELECT l_orderkey, l_linenumber, d.l_partkey FROM d JOIN w ON d.l_partkey = w.l_partkey WHERE diff > 3 * mad""")
-
-portable("large_expression_outliers", """
-WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, log2((l_extendedprice + 1) / (l_quantity + 1)) AS val FROM lineitem),
-m AS (SELECT l_partkey, median(val) AS med FROM v GROUP BY l_partkey)
-SELECT l_orderkey, l_linenumber, v.l_partkey, round(val - med, 6) AS above FROM v JOIN m ON v.l_partkey = m.l_partkey WHERE val - med > 0.3e0""")
-
-portable("replicate_correlation", """
-WITH r AS (SELECT l_partkey AS k, l_returnflag AS rep, sum(l_extendedprice) AS x FROM lineitem GROUP BY l_partkey, l_returnflag)
-SELECT a.rep AS rep_a, b.rep AS rep_b, count(*) AS n, round(corr(a.x, b.x), 6) AS r FROM r a JOIN r b ON a.k = b.k AND a.rep < b.rep GROUP BY a.rep, b.rep""")
-
-portable("sort_gradient_score", """
-WITH b AS (SELECT l_partkey AS guide, l_linenumber AS bin, count(*) AS n FROM lineitem GROUP BY l_partkey, l_linenumber),
-t AS (SELECT bin, sum(n) AS total FROM b GROUP BY bin),
-f AS (SELECT guide, b.bin, n, n / total AS freq FROM b JOIN t ON b.bin = t.bin)
-SELECT guide, CAST(sum(n) AS BIGINT) AS reads, round(sum(bin * freq) / sum(freq), 6) AS score FROM f GROUP BY guide HAVING sum(n) >= 5""")
-
-portable("tail_screen", """
-WITH c AS (SELECT l_partkey AS guide, l_linestatus AS rep, count_if(l_linenumber <= 2) AS lo, count_if(l_linenumber >= 6) AS hi FROM lineitem GROUP BY l_partkey, l_linestatus),
-t AS (SELECT rep, sum(lo) AS t_lo, sum(hi) AS t_hi FROM c GROUP BY rep)
-SELECT guide, c.rep, lo, hi, round(log2(((lo + 0.5e0) / t_lo) / ((hi + 0.5e0) / t_hi)), 6) AS lfc FROM c JOIN t ON c.rep = t.rep WHERE lo + hi >= 5""")
-
-portable("rpm_log_fold_change", """
-WITH c AS (SELECT l_partkey AS guide, l_linestatus AS cond, l_returnflag AS rep, sum(l_quantity) AS x FROM lineitem GROUP BY l_partkey, l_linestatus, l_returnflag),
-n AS (SELECT *, log2(x * 1e6 / sum(x) OVER (PARTITION BY cond, rep) + 1) AS ln FROM c),
-p AS (SELECT guide, rep, max(CASE WHEN cond = 'F' THEN ln END) - max(CASE WHEN cond = 'O' THEN ln END) AS lfc FROM n GROUP BY guide, rep)
-SELECT guide, count(lfc) AS reps, round(avg(lfc), 6) AS mean, round(median(lfc), 6) AS med, round(stddev_pop(lfc), 6) AS sd FROM p GROUP BY guide""")
-
-portable("outlier_guides", """
-WITH r AS (SELECT l_partkey AS guide, l_linestatus AS cond, l_returnflag AS rep, sum(l_quantity) AS x FROM lineitem GROUP BY l_partkey, l_linestatus, l_returnflag),
-n AS (SELECT *, x * 1e6 / sum(x) OVER (PARTITION BY cond, rep) AS rpm FROM r),
-m AS (SELECT guide, cond, median(rpm) AS med FROM n GROUP BY guide, cond)
-SELECT n.guide, n.cond, rep, round(rpm, 4) AS rpm FROM n JOIN m ON n.guide = m.guide AND n.cond = m.cond WHERE rpm > 1.5e0 * med AND rpm > 500""")
-
 portable("sample_qc_table", "SELECT l_returnflag AS sample, count(*) AS guides, round(sum(l_quantity), 2) AS total, count_if(l_discount = 0) AS zeros, round(PCT(l_quantity, 0.1), 4) AS p10, round(PCT(l_quantity, 0.9), 4) AS p90 FROM lineitem GROUP BY l_returnflag")
 
 portable("explore_threshold_sets", """
 WITH sets AS (SELECT 'loose' AS name, 5 AS q, 0.09e0 AS d UNION ALL SELECT 'strict', 20, 0.05e0)
 SELECT name, l_returnflag, count_if(l_quantity >= q AND l_discount <= d) AS kept, count_if(NOT (l_quantity >= q AND l_discount <= d)) AS dropped FROM lineitem CROSS JOIN sets GROUP BY name, l_returnflag""")
 
-portable("matrix_stats", "SELECT count(*) AS nnz, min(l_quantity) AS lo, max(l_quantity) AS hi, round(sum(l_quantity), 2) AS total, count_if(l_quantity <> floor(l_quantity)) AS fractional, count(DISTINCT l_partkey) * count(DISTINCT l_suppkey) - count(*) AS zeros FROM lineitem")
-
-portable("gene_flags", "SELECT o_custkey AS cell, max(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS has_a, max(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS has_n, max(CASE WHEN l_tax > 0.07e0 THEN 1 ELSE 0 END) AS has_tax FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey")
-
-portable("balanced_strata", """
-WITH s AS (SELECT c_nationkey, c_mktsegment, count(DISTINCT c_custkey) AS donors FROM customer WHERE c_acctbal > 0 GROUP BY c_nationkey, c_mktsegment HAVING count(DISTINCT c_custkey) > 1)
-SELECT customer.c_nationkey, customer.c_mktsegment, count(*) AS kept FROM customer JOIN s ON customer.c_nationkey = s.c_nationkey AND customer.c_mktsegment = s.c_mktsegment GROUP BY customer.c_nationkey, customer.c_mktsegment""")
-
-portable("replicated_hits", """
-WITH d AS (SELECT l_returnflag AS stratum, count(DISTINCT l_suppkey) AS donors FROM lineitem GROUP BY l_returnflag),
-h AS (SELECT l_returnflag AS stratum, l_partkey AS gene, count(DISTINCT l_suppkey) AS seen FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag, l_partkey)
-SELECT h.stratum, gene, seen FROM h JOIN d ON h.stratum = d.stratum WHERE seen / donors >= 0.05e0""")
-
-portable("cell_type_prevalence", "SELECT l_partkey AS gene, count_if(x > 30) AS n_types FROM (SELECT l_partkey, l_linenumber, avg(l_quantity) AS x FROM lineitem GROUP BY l_partkey, l_linenumber) GROUP BY l_partkey")
-
-portable("evidence_rank", """
-SELECT l_partkey AS variant, count(DISTINCT CASE WHEN l_linestatus = 'F' THEN l_returnflag || CAST(l_linenumber AS VARCHAR(2)) END) AS n_assays, count(*) AS n_edges, JOINED(l_returnflag) AS kinds
-FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_returnflag) >= 2""")
-
-portable("trait_enrichment_ratio", """
-WITH tot AS (SELECT count(*) AS total, count_if(l_quantity > 40) AS hits FROM lineitem),
-t AS (SELECT l_suppkey AS trait, count(*) AS cat, count_if(l_quantity > 40) AS obs FROM lineitem GROUP BY l_suppkey HAVING count_if(l_quantity > 40) >= 3)
-SELECT trait, obs AS a, greatest(cat - obs, 0) AS b, greatest(hits - obs, 0) AS c, greatest(total - cat - greatest(hits - obs, 0), 0) AS d, round(obs / greatest(cat * hits / total, 0.01e0), 6) AS enrichment FROM t CROSS JOIN tot""")
-
-portable("cpm_welch_statistic", """
-WITH lib AS (SELECT l_orderkey, sum(l_quantity) AS size FROM lineitem GROUP BY l_orderkey),
-x AS (SELECT l_partkey AS gene, l_linestatus AS grp, log2(l_quantity / size * 1e6 + 1) AS v FROM lineitem JOIN lib ON lineitem.l_orderkey = lib.l_orderkey),
-m AS (SELECT gene, avg(CASE WHEN grp = 'F' THEN v END) AS ma, avg(CASE WHEN grp = 'O' THEN v END) AS mb, var_samp(CASE WHEN grp = 'F' THEN v END) AS va, var_samp(CASE WHEN grp = 'O' THEN v END) AS vb, count_if(grp = 'F') AS na, count_if(grp = 'O') AS nb FROM x GROUP BY gene)
-SELECT gene, na, nb, round(mb - ma, 6) AS log2fc, round((mb - ma) / sqrt(va / na + vb / nb), 4) AS t FROM m WHERE na >= 2 AND nb >= 2 AND va + vb > 0""")
-
-portable("paired_skew_statistic", """
-WITH d AS (SELECT avg(l_quantity) AS mean_dna FROM lineitem),
-r AS (SELECT l_partkey AS v, l_returnflag AS rep, log2((sum(CASE WHEN l_linestatus = 'O' THEN l_extendedprice ELSE 0 END) + 1) / (max(mean_dna) + 1)) - log2((sum(CASE WHEN l_linestatus = 'F' THEN l_extendedprice ELSE 0 END) + 1) / (max(mean_dna) + 1)) AS skew FROM lineitem CROSS JOIN d GROUP BY l_partkey, l_returnflag)
-SELECT v, count(*) AS n, round(avg(skew), 6) AS skew, round(stddev_samp(skew) / sqrt(count(*)), 6) AS se FROM r GROUP BY v HAVING count(*) >= 2""")
-
 portable("knockdown_metrics", """
 WITH x AS (SELECT l_returnflag AS batch, log2(l_quantity / 25) AS lfc, l_tax AS p FROM lineitem)
 SELECT batch, count(*) AS n, round(avg(CAST(lfc <= log2(0.6e0) AS INT)), 6) AS strong, round(avg(CAST(p < 0.02e0 AS INT)), 6) AS significant, round(avg(CAST(lfc <= log2(0.6e0) AND p < 0.02e0 AS INT)), 6) AS both_pass FROM x GROUP BY batch""")
@@ -176,8 +30,6 @@ portable("bin_coverage_both_ends", "SELECT bin, count(*) AS n FROM (SELECT INTDI
 
 portable("pairs_qc", "SELECT count(*) AS n, count_if(l_partkey % 10 = l_suppkey % 10) AS cis, count_if(l_partkey % 10 <> l_suppkey % 10) AS trans, count_if(l_partkey % 10 = l_suppkey % 10 AND abs(l_partkey - l_suppkey) > 1000) AS long_range FROM lineitem")
 
-portable("facet_counts", "SELECT CASE WHEN GROUPING(o_orderstatus) = 0 THEN 'status' ELSE 'priority' END AS facet, coalesce(o_orderstatus, o_orderpriority) AS term, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority))")
-
 portable("fill_values", "SELECT round(avg(CASE WHEN l_tax > 0 THEN l_tax END), 8) AS tax_fill, round(avg(coalesce(nullif(l_discount, 0), 0.05e0)), 8) AS discount_filled FROM lineitem")
 
 portable("pathway_integrate", """

@@ -30,21 +30,21 @@ def all_edges(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 900 + 100000).alias("b")).distinct()
 
 
-portable("undirected_2hop_all", f"""
+portable("undirected_2hop", f"""
 WITH e AS ({ALL_EDGES}), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e)
 SELECT x.a AS node, count(DISTINCT y.b) AS two_hop FROM u x JOIN u y ON x.b = y.a WHERE y.b <> x.a GROUP BY x.a""")
 
 
-@query("connected_components_all")  # no SQL: a recursive closure is quadratic in a component; tested against union-find
-def connected_components_all(spark, sf_dir):
+@query("connected_components")  # no SQL: a recursive closure is quadratic in a component; tested against union-find
+def connected_components(spark, sf_dir):
     return graph.connected_components(all_edges(spark, sf_dir))
 
 
-@query("bfs_depth_3_all", f"""
+@query("bfs_depth_3", f"""
 WITH RECURSIVE e AS MATERIALIZED ({ALL_EDGES}), u AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e), s AS (SELECT min(a) AS node FROM e),
 r AS (SELECT node, 0 AS depth FROM s UNION SELECT u.b, r.depth + 1 FROM r JOIN u ON r.node = u.a WHERE r.depth < 3)
 SELECT node, min(depth) AS depth FROM r GROUP BY node""")
-def bfs_depth_3_all(spark, sf_dir):
+def bfs_depth_3(spark, sf_dir):
     e = all_edges(spark, sf_dir)
     return graph.breadth_first(e, e.agg(F.min("a").alias("node")), 3)
 
@@ -59,12 +59,6 @@ portable("coverage_labels", "SELECT s_suppkey, CASE WHEN c.n >= 620 THEN 'merged
 portable("allele_pairs", """
 SELECT l_partkey AS v, round(sum(CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE 0 END), 2) AS ref, round(sum(CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE 0 END), 2) AS alt FROM lineitem GROUP BY l_partkey HAVING count_if(l_linestatus = 'F') > 0 AND count_if(l_linestatus = 'O') > 0""")
 
-portable("unique_name_map", "SELECT p_name, min(p_partkey) AS id FROM part GROUP BY p_name HAVING count(*) = 1 UNION ALL SELECT s_name, min(s_suppkey) FROM supplier GROUP BY s_name HAVING count(*) = 1")
-
-portable("compare_outputs_full_join", """
-WITH a AS (SELECT o_custkey AS k, sum(o_totalprice) AS x FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey), b AS (SELECT o_custkey AS k, sum(o_totalprice) AS x FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY o_custkey)
-SELECT count_if(a.k IS NULL) AS right_only, count_if(b.k IS NULL) AS left_only, count_if(abs(a.x - b.x) <= 0.01e0) AS equal_n, count_if(abs(a.x - b.x) > 0.01e0) AS differs FROM a FULL OUTER JOIN b ON a.k = b.k""")
-
 portable("null_safe_full_join", """
 WITH a AS (SELECT CASE WHEN l_quantity > 45 THEN NULL ELSE l_returnflag END AS k, l_linenumber AS j, count(*) AS n FROM lineitem GROUP BY 1, 2), b AS (SELECT CASE WHEN l_tax > 0.07e0 THEN NULL ELSE l_returnflag END AS k, l_linenumber AS j, count(*) AS m FROM lineitem GROUP BY 1, 2)
 SELECT coalesce(a.k, b.k) AS k, coalesce(a.j, b.j) AS j, n, m FROM a FULL OUTER JOIN b ON a.k IS NOT DISTINCT FROM b.k AND a.j = b.j""")

@@ -82,8 +82,3 @@ portable("top_by_absolute_score", "SELECT l_orderkey, l_linenumber, l_partkey, r
 
 portable("page_of_results", "SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn > 200 AND rn <= 300")
 
-portable("score_thresholds", "SELECT PCT(l_extendedprice, 0.1) AS q10, PCT(l_extendedprice, 0.25) AS q25, PCT(l_extendedprice, 0.5) AS q50, PCT(l_extendedprice, 0.75) AS q75, PCT(l_extendedprice, 0.9) AS q90 FROM lineitem")
-
-portable("mean_centred_controls", """
-WITH c AS (SELECT avg(value) AS ctrl, count(*) AS n FROM events WHERE event_type = 'view'), m AS (SELECT median(value) AS med FROM events)
-SELECT event_type, count(*) AS n, round(avg(value - CASE WHEN c.n >= 5 THEN ctrl ELSE med END), 6) AS centred FROM events CROSS JOIN c CROSS JOIN m GROUP BY event_type""")

@@ -19,5 +19,5 @@ def test_components_of_all_orders(spark):
     for a, b in zip(orders.o_custkey, orders.o_orderkey % 900 + 100000, strict=True):
         low, high = sorted((find(a), find(b)))
         root[high] = low
-    got = {r.node: r.component for r in registry.queries()["connected_components_all"](spark, SF).collect()}
+    got = {r.node: r.component for r in registry.queries()["connected_components"](spark, SF).collect()}
     assert got == {x: find(x) for x in root}
