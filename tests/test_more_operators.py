@@ -4,6 +4,7 @@ import datetime
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -332,3 +333,25 @@ def test_edge_build_accounts_for_every_edge(spark):
     assert sorted(r.reason for r in rejects.collect()) == ["dangling endpoint", "hyperedge endpoint not in mirror", "unknown endpoint type", "unknown endpoint type"]
     found, stubs = kg.referenced_nodes(kept, "Variant", spark.createDataFrame([("variants/1",)], "id string"))
     assert found.count() == 0 and [(r.id, r.taxon) for r in stubs.collect()] == [("variants/7", kg.HUMAN)]
+
+
+def test_deconvolution_keeps_to_the_guides_it_sees():
+    rng = np.random.default_rng(3)
+    position, score = np.sort(rng.integers(0, 60000, 20000)) * 12.0, rng.normal(4, 3, 20000)
+    bins = np.arange(position[0] - 30, position[-1] + 31, 20)
+    tracemalloc.start()
+    beta = matrices.deconvolved(position, score, bins, 30.0, 0.5, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6 and len(beta) == len(bins)  # guides times bins would be 5.8 GB
+    some = np.argsort(position, kind="stable")[:300]
+    x, y, b = position[some], score[some], bins[:200]
+    kernel = np.exp(-0.5 * ((x[:, None] - b) / 30) ** 2) * (np.abs(x[:, None] - b) <= 90)
+    want, rest = np.zeros(len(b)), y.copy()
+    for _ in range(250):  # bin after bin
+        for k in np.flatnonzero(kernel.any(axis=0)):
+            pull, square = kernel[:, k] @ rest + (kernel[:, k] ** 2).sum() * want[k], (kernel[:, k] ** 2).sum()
+            new = np.sign(pull) * max(abs(pull) - 0.5, 0) / square
+            rest, want[k] = rest - kernel[:, k] * (new - want[k]), new
+    shuffled = rng.permutation(300)
+    assert np.allclose(matrices.deconvolved(x[shuffled], y[shuffled], b, 30.0, 0.5, 250), want, atol=1e-9)
