@@ -76,6 +76,22 @@ def value_ranks(df: DataFrame, value: str, keys: list[str] | None = None, name:
     return ranked.withColumn(name, F.col("_to") - (F.col("n") - 1) / 2.0).drop("_to")
 
 
+def percentiles(df: DataFrame, value: str, shares: list[float], name: str = "edges") -> DataFrame:
+    """One row (name): the exact percentiles of a column's values that are not null, interpolated; null without any.
+
+    Different values are counted and the counts summed over ranges of values, so that no task holds the column.
+    """
+    by = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = running(by, [], [F.col("_x")], {"_to": ("sum", F.col("_n"))})
+    total = df.agg(F.count(value).alias("_total"))
+    placed = placed.crossJoin(F.broadcast(total))  # one row
+    at = [F.lit(s) * (F.col("_total") - 1) for s in shares]
+    value_at = lambda k: F.max(F.when((F.col("_to") - F.col("_n") <= k) & (k < F.col("_to")), F.col("_x")))
+    ends = [c for k, p in enumerate(at) for c in (value_at(F.floor(p)).alias(f"_low{k}"), value_at(F.ceil(p)).alias(f"_high{k}"), F.max(p - F.floor(p)).alias(f"_d{k}"))]
+    between = [F.when(F.col(f"_low{k}") == F.col(f"_high{k}"), F.col(f"_low{k}")).otherwise(F.col(f"_low{k}") * (1 - F.col(f"_d{k}")) + F.col(f"_high{k}") * F.col(f"_d{k}")) for k in range(len(shares))]
+    return placed.agg(*ends).select(F.array(*between).alias(name))
+
+
 def auroc(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row (n_pos, n_neg, auroc): the share of pairs in which the positive scores higher, ties half."""
     by = df.groupBy(score).agg(F.count_if(F.col(label)).alias("pos"), F.count_if(~F.col(label)).alias("neg"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lodestar import flow, warehouse
 from lodestar.functions import dsl, numeric, text
 from lodestar.operators import glm, kg, matrices, models, ordered, peaks, ranges, screens
+from lodestar.plans import registry
 from lodestar.sources import mirror, readers, writers
 
 
@@ -355,3 +356,15 @@ def test_deconvolution_keeps_to_the_guides_it_sees():
             rest, want[k] = rest - kernel[:, k] * (new - want[k]), new
     shuffled = rng.permutation(300)
     assert np.allclose(matrices.deconvolved(x[shuffled], y[shuffled], b, 30.0, 0.5, 250), want, atol=1e-9)
+
+
+def test_percentiles_over_ranges(spark):
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 7, 1000):
+        x = np.round(rng.normal(0, 3, n), 1)
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double").repartition(3)
+        (edges,) = ordered.percentiles(df, "v", [0.0, 0.25, 0.5, 0.9, 1.0]).first()
+        assert np.allclose(edges, np.quantile(x, [0, 0.25, 0.5, 0.9, 1]), rtol=0, atol=1e-12)
+    assert ordered.percentiles(df.limit(0), "v", [0.5]).first() == ([None],)
+    plan = registry.queries()["quantile_bins_edges"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan  # its buffer holds every different value in one task
