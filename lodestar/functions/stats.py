@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators.ordered import down, running
@@ -110,3 +110,14 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
     s = s.withColumn("f", f)
     p = F.when(F.col("f").isNotNull(), f_tail(F.coalesce("f", F.lit(0.0)), F.greatest(F.col("groups") - 1, F.lit(1)).cast("double"), F.greatest(F.col("n") - F.col("groups"), F.lit(1)).cast("double")))
     return s.select("groups", "n", "f", p.alias("p"))
+
+
+def mean_in_order(df: DataFrame, by: list[str], values: dict[str, str], place: str) -> DataFrame:
+    """(by, names) with the mean of a column per name, its values added one by one in the order of place.
+
+    Which of two floating sums of equal values is larger depends on the order alone; here neither partitions nor tasks
+    decide it. Sorting spills; a group need not fit in memory.
+    """
+    w = Window.partitionBy(*by).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    run = df.select(*by, place, *(x for c in values.values() for x in (F.sum(c).over(w).alias(f"_s_{c}"), F.count(c).over(w).alias(f"_n_{c}"))))
+    return run.groupBy(*by).agg(*(F.max_by(F.col(f"_s_{c}") / F.nullif(F.col(f"_n_{c}"), F.lit(0)), place).alias(name) for name, c in values.items()))
