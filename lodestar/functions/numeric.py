@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -176,3 +177,20 @@ def chi2_p(x: pd.Series) -> pd.Series:
 def rank_sum_test(u: pd.Series, n1: pd.Series, n2: pd.Series, tie_term: pd.Series) -> pd.Series:
     """Two-sided p of the rank-sum test."""
     return pd.Series([rank_sum_p(float(a), int(b), int(c), float(d)) for a, b, c, d in zip(u, n1, n2, tie_term, strict=True)])
+
+
+def _logarithm(x: pd.Series, log: Callable[[float], float]) -> pd.Series:
+    values, at = np.unique(x.to_numpy(float), return_inverse=True)
+    return pd.Series(np.array([log(v) if v > 0 else np.nan for v in values.tolist()], float)[at])
+
+
+@F.pandas_udf(DoubleType())
+def log2(x: pd.Series) -> pd.Series:
+    """Logarithm of the C library, which is exact for powers of two; Spark's is a quotient of two. NaN unless x > 0."""
+    return _logarithm(x, math.log2)
+
+
+@F.pandas_udf(DoubleType())
+def log10(x: pd.Series) -> pd.Series:
+    """As log2, to base 10."""
+    return _logarithm(x, math.log10)
