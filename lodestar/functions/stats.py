@@ -121,3 +121,19 @@ def mean_in_order(df: DataFrame, by: list[str], values: dict[str, str], place: s
     w = Window.partitionBy(*by).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
     run = df.select(*by, place, *(x for c in values.values() for x in (F.sum(c).over(w).alias(f"_s_{c}"), F.count(c).over(w).alias(f"_n_{c}"))))
     return run.groupBy(*by).agg(*(F.max_by(F.col(f"_s_{c}") / F.nullif(F.col(f"_n_{c}"), F.lit(0)), place).alias(name) for name, c in values.items()))
+
+
+def deviation_in_order(value: str, place: str) -> Column:
+    """Aggregate: the sample deviation of a column's values by one updating pass in the order of place; null below two values.
+
+    Like mean_in_order it depends on no partition. The values of a group are one array.
+    """
+    x = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(place).alias("at"), F.col(value).cast("double").alias("x")))))
+
+    def step(state: Column, v: Column) -> Column:
+        n, off = state["n"] + 1, v["x"] - state["mean"]
+        mean = state["mean"] + off / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (state["square"] + (v["x"] - mean) * off).alias("square"))
+
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("square"))
+    return F.aggregate(x, start, step, lambda s: F.when(s["n"] > 1, F.sqrt(s["square"] / (s["n"] - 1))))

@@ -159,9 +159,12 @@ def global_outliers(counts: DataFrame, times: float = 3.0) -> DataFrame:
     return x.join(F.broadcast(m), "replicate").groupBy("replicate").agg(F.count(F.lit(1)).alias("n"), F.count_if(far).alias("outliers"))
 
 
-def z_filter(counts: DataFrame, times: float = 3.0) -> DataFrame:
-    """Barcodes whose RNA count is within so many spreads of their oligo's mean; an oligo without a spread has none."""
-    m = counts.groupBy("oligo").agg(F.avg("rna").alias("_m"), F.stddev_samp("rna").alias("_s")).where(F.col("_s") > 0)
+def z_filter(counts: DataFrame, times: float = 3.0, place: str | None = None) -> DataFrame:
+    """Barcodes whose RNA count is within so many spreads of their oligo's mean; an oligo without a spread has none.
+
+    With place, a column with the rows' order, spreads are summed in it.
+    """
+    m = counts.groupBy("oligo").agg(F.avg("rna").alias("_m"), (stats.deviation_in_order("rna", place) if place else F.stddev_samp("rna")).alias("_s")).where(F.col("_s") > 0)
     return counts.join(m, "oligo").where(F.abs(F.col("rna") - F.col("_m")) <= times * F.col("_s")).select(*counts.columns)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import tables
 from lodestar.plans.registry import query
-from lodestar.session import table
+from lodestar.session import place, table
 
 Z = "1.959963984540054e0"
 
@@ -75,8 +75,12 @@ def mean_by_group_with_zeros(spark, sf_dir):
 CNT = "SELECT l_orderkey * 10 + l_linenumber AS barcode, l_partkey AS oligo, l_returnflag AS replicate, CAST(l_quantity AS BIGINT) % 9 AS dna, CAST(floor(l_extendedprice) AS BIGINT) % 23 AS rna FROM lineitem"
 
 
-def counts(spark, sf_dir):
-    return lines(spark, sf_dir).selectExpr("l_orderkey * 10 + l_linenumber AS barcode", "l_partkey AS oligo", "l_returnflag AS replicate", "CAST(l_quantity AS BIGINT) % 9 AS dna", "CAST(floor(l_extendedprice) AS BIGINT) % 23 AS rna")
+CNT_COLUMNS = ["l_orderkey * 10 + l_linenumber AS barcode", "l_partkey AS oligo", "l_returnflag AS replicate", "CAST(l_quantity AS BIGINT) % 9 AS dna", "CAST(floor(l_extendedprice) AS BIGINT) % 23 AS rna"]
+
+
+def counts(spark, sf_dir, placed=False):
+    x = lines(spark, sf_dir)
+    return x.withColumn("place", place()).selectExpr("place", *CNT_COLUMNS) if placed else x.selectExpr(*CNT_COLUMNS)
 
 
 @query("merge_counts_cpm_ratio", f"""
@@ -150,7 +154,7 @@ def global_outliers_z(spark, sf_dir):
 
 @query("z_filtered_barcodes", f"WITH c AS ({CNT}), m AS (SELECT oligo, avg(rna) AS mu, stddev_samp(rna) AS sd FROM c GROUP BY 1) SELECT barcode, c.oligo, replicate, dna, rna FROM c JOIN m ON c.oligo = m.oligo WHERE sd > 0 AND abs(rna - mu) <= 1.2e0 * sd")
 def z_filtered_barcodes(spark, sf_dir):
-    return tables.z_filter(counts(spark, sf_dir), 1.2)
+    return tables.z_filter(counts(spark, sf_dir, placed=True), 1.2, "place").drop("place")
 
 
 @query("mad_outliers", f"""
