@@ -140,15 +140,17 @@ def barcode_matrix(counts: DataFrame, replicates: list[str]) -> DataFrame:
     return wide.select("barcode", *(F.coalesce(f"{r}_{m}", F.lit(0)).alias(f"{m}_{r}") for m in ("dna", "rna") for r in replicates))
 
 
-def within_oligo_outliers(counts: DataFrame, times: float = 3.0) -> DataFrame:
+def within_oligo_outliers(counts: DataFrame, times: float = 3.0, place: str | None = None) -> DataFrame:
     """counts (barcode, oligo, replicate, dna, rna) with z of the RNA count within its oligo and replicate, and outlier.
 
-    Barcodes without any read are not looked at; a spread of 0, or of one barcode, counts as 1.
+    Barcodes without any read are not looked at; a spread of 0, or of one barcode, counts as 1. With place, a column with
+    the rows' order, spreads are summed in it, so that rows just at the bound do not depend on partitions.
     """
-    w = Window.partitionBy("replicate", "oligo")
     x = counts.where(F.col("dna") + F.col("rna") > 0)
-    sd = F.coalesce(F.nullif(F.stddev_samp("rna").over(w), F.lit(0.0)), F.lit(1.0))
-    return x.withColumn("z", (F.col("rna") - F.avg("rna").over(w)) / sd).withColumn("outlier", F.abs("z") > times)
+    m = x.groupBy(F.col("replicate").alias("_w0"), F.col("oligo").alias("_w1")).agg(F.avg("rna").alias("_m"), (stats.deviation_in_order("rna", place) if place else F.stddev_samp("rna")).alias("_s"))
+    x = x.join(m, F.col("replicate").eqNullSafe(F.col("_w0")) & F.col("oligo").eqNullSafe(F.col("_w1")))
+    sd = F.coalesce(F.nullif("_s", F.lit(0.0)), F.lit(1.0))
+    return x.withColumn("z", (F.col("rna") - F.col("_m")) / sd).withColumn("outlier", F.abs("z") > times).drop("_w0", "_w1", "_m", "_s")
 
 
 def global_outliers(counts: DataFrame, times: float = 3.0) -> DataFrame:
@@ -162,7 +164,7 @@ def global_outliers(counts: DataFrame, times: float = 3.0) -> DataFrame:
 def z_filter(counts: DataFrame, times: float = 3.0, place: str | None = None) -> DataFrame:
     """Barcodes whose RNA count is within so many spreads of their oligo's mean; an oligo without a spread has none.
 
-    With place, a column with the rows' order, spreads are summed in it.
+    place as in within_oligo_outliers.
     """
     m = counts.groupBy("oligo").agg(F.avg("rna").alias("_m"), (stats.deviation_in_order("rna", place) if place else F.stddev_samp("rna")).alias("_s")).where(F.col("_s") > 0)
     return counts.join(m, "oligo").where(F.abs(F.col("rna") - F.col("_m")) <= times * F.col("_s")).select(*counts.columns)

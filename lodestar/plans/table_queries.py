@@ -144,7 +144,7 @@ def barcode_matrix_pivot(spark, sf_dir):
 @query("oligo_outliers_z", f"""
 WITH c AS ({CNT}), z AS (SELECT barcode, oligo, replicate, rna, (rna - avg(rna) OVER w) / coalesce(nullif(stddev_samp(rna) OVER w, 0), 1) AS z FROM c WHERE dna + rna > 0 WINDOW w AS (PARTITION BY replicate, oligo)) SELECT barcode, oligo, replicate, rna, round(z, 6) AS z FROM z WHERE abs(z) > 1.5e0""")
 def oligo_outliers_z(spark, sf_dir):
-    return rounded(tables.within_oligo_outliers(counts(spark, sf_dir), 1.5).where("outlier").select("barcode", "oligo", "replicate", "rna", "z"), ["z"])
+    return rounded(tables.within_oligo_outliers(counts(spark, sf_dir, placed=True), 1.5, "place").where("outlier").select("barcode", "oligo", "replicate", "rna", "z"), ["z"])
 
 
 @query("global_outliers_z", f"WITH c AS (SELECT * FROM ({CNT}) WHERE dna + rna > 0), m AS (SELECT replicate, avg(rna) AS mu, stddev_samp(rna) AS sd FROM c GROUP BY 1) SELECT c.replicate, count(*) AS n, count_if(sd > 0 AND abs(rna - mu) > 1.5e0 * sd) AS outliers FROM c JOIN m ON c.replicate = m.replicate GROUP BY c.replicate")

@@ -23,7 +23,7 @@ def split_lines(tmp_path_factory):
     return found
 
 
-@pytest.mark.parametrize("name, kind", [("concordance_sign", "wide"), ("mad_outliers", "wide"), ("z_filtered_barcodes", "two")])
+@pytest.mark.parametrize("name, kind", [("concordance_sign", "wide"), ("mad_outliers", "wide"), ("z_filtered_barcodes", "two"), ("oligo_outliers_z", "few")])
 def test_bounds_do_not_depend_on_partitions(spark, split_lines, name, kind):
     folder, con = split_lines[kind]
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
