@@ -30,9 +30,11 @@ def all_edges(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 900 + 100000).alias("b")).distinct()
 
 
-portable("undirected_2hop", f"""
+@query("undirected_2hop", f"""
 WITH e AS ({ALL_EDGES}), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e)
 SELECT x.a AS node, count(DISTINCT y.b) AS two_hop FROM u x JOIN u y ON x.b = y.a WHERE y.b <> x.a GROUP BY x.a""")
+def undirected_2hop(spark, sf_dir):
+    return graph.two_hop_counts(all_edges(spark, sf_dir))
 
 
 @query("connected_components")  # no SQL: a recursive closure is quadratic in a component; tested against union-find
